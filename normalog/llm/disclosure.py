@@ -2,10 +2,10 @@
 
 Protected entities are what the four patterns find: e-mail and IP addresses, card and phone numbers. The words around
 an entity may reveal it although the entity itself is masked. Over the corpus, a term's disclosure of an entity is
-log2(P(entity | term) / P(entity)), P(entity | term) being the share of the texts holding the term in which it stands
-within ``reach`` words of that entity; equal texts count once. Terms seen with the entity in at least ``support``
-texts whose disclosure and share reach the thresholds are spans too, where they stand beside the entity; ``sanitise``
-generalises entities to their kind and removes such terms. Words far from any entity are never touched.
+log2(P(entity | term) / P(entity)), P(entity | term) being the share of the documents holding the term in which it
+stands within ``reach`` words of that entity. Terms seen with the entity in at least ``support`` different texts whose
+disclosure and share reach the thresholds are spans too, where they stand beside the entity; ``sanitise`` generalises
+entities to their kind and removes such terms. Words far from any entity are never touched.
 
 Null texts are empty. Equal (id, text) rows get equal results. An empty table gives no rows. Other columns of docs
 are not read by ``find`` and stay as they are in ``sanitise``.
@@ -115,12 +115,15 @@ def corpus_terms(docs: DataFrame, text: str) -> DataFrame:
 
 def disclosing(found: DataFrame, docs: DataFrame, text: str, support: int, share: float, bits: float) -> DataFrame:
     """(entity, term) pairs over the thresholds. found: key (of the text) and near, the neighbours."""
-    pairs = found.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term").distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    pair = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
+    pairs = found.where(F.size("near") > 0).select("key", F.explode(pair).alias("x")).select("key", "x.entity", "x.term")
+    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.countDistinct("key").alias("texts_of_both")).where(F.col("texts_of_both") >= support)
+    both = cut(both.select("entity", "term", "both"))
     if both.isEmpty():
         return both.select("entity", "term")
-    entity = pairs.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("holding"))
-    total = found.select("key").distinct().count()
+    held = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["kind"], F.lower(x["v"]))))
+    entity = found.where(F.size("base") > 0).select(F.explode(held).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("holding"))
+    total = found.count()
     seen = corpus_terms(docs, text).join(both.select("term").distinct(), "term", "left_semi")
     p = both.join(seen, "term").join(entity, "entity").withColumn("p", F.col("both") / F.greatest("both", "texts"))
     return p.where((F.col("p") >= share) & (F.log2(F.col("p") * total / F.col("holding")) >= bits)).select("entity", "term")

@@ -10,8 +10,9 @@ from normalog.llm.mixing import op4_mixing
 from normalog.llm.ppm import op5_ppm
 from normalog.llm.quality_hosts import ORACLE as OP6_SQL
 from normalog.llm.quality_hosts import op6_quality_hosts
+from normalog.llm.repeats import op8_repeats
 from normalog.llm.simhash import op3_simhash
 from normalog.llm.token_counts import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprint, op3_simhash, op4_mixing, op5_ppm, op6_quality_hosts, op7_disclosure, op9_chat_tree, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprint, op3_simhash, op4_mixing, op5_ppm, op6_quality_hosts, op7_disclosure, op8_repeats, op9_chat_tree, op10_bpe_codec)}
 ORACLES = {"op6_quality_hosts": OP6_SQL}

@@ -33,11 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it again: no lineage, one evaluation, safe against lost executors."""
     spark = df.sparkSession
-    # the write's shuffle files are of no use afterwards; Spark drops them with its execution where this is on
-    if spark.conf.get(CLEANUP, "false") != "true":
-        spark.conf.set(CLEANUP, "true")
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the write's shuffle files are of no use afterwards; with this on, Spark drops them when the write ends
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -118,7 +118,10 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str, support: int, share
     pair = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
     pairs = found.where(F.size("near") > 0).select("key", F.explode(pair).alias("x")).select("key", "x.entity", "x.term")
     both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.countDistinct("key").alias("texts_of_both")).where(F.col("texts_of_both") >= support)
-    both = cut(both.select("entity", "term", "both"))
+    # a term's documents are at least those where it stands beside any entity, which rules most pairs out unread
+    beside = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term"))
+    beside = beside.groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
+    both = cut(both.join(beside, "term").where(F.col("both") >= share * F.col("beside")).select("entity", "term", "both"))
     if both.isEmpty():
         return both.select("entity", "term")
     held = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["kind"], F.lower(x["v"]))))

@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 
 from normalog.llm.common import steps, table
 
-MEMO = 300_000
+MEMO, FITS = 120_000, 250_000
 #: Fixed value: the pieces that the byte-level pre-tokenizer's white space rules make of ASCII texts.
 PIECE = re.compile(rb" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
 #: White space, or what may count as such, beyond ASCII's six characters.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Pieces of one word of Latin letters and ASCII marks after it (no apostrophe): two pre-tokens at most.
+PLAIN = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 FOREVER = 1 << 60
 
 
@@ -58,14 +62,17 @@ class PrefixCodec:
             self.parts.setdefault(vocab[a + b], (*pair, r))
         to_byte = byte_alphabet()
         self.token_bytes = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
+        self.letters = {b: c for c, b in to_byte.items()}
+        self.tokens = {t: i for t, i in vocab.items() if len(t) == 1 or i in self.parts}
         self.automaton = ahocorasick.Automaton()
-        for t, i in vocab.items():
-            if len(t) == 1 or i in self.parts:
-                self.automaton.add_word(t, (len(t), i))
+        for t, i in self.tokens.items():
+            self.automaton.add_word(t, (len(t), i))
         self.automaton.make_automaton()
         self.spines: tuple[dict, dict] = ({}, {})
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        # two generations of known pieces: what is still in use moves from the older one to the younger
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """Symbols at the token's left (0) or right (1) edge, each with the rank of the merge that takes it up."""
@@ -82,24 +89,32 @@ class PrefixCodec:
         return known[token]
 
     def compatible(self, a: int, b: int) -> bool:
-        if (a, b) not in self.fits:
-            if len(self.fits) > 1_000_000:
+        pair = a << 20 | b
+        if pair not in self.fits:
+            if len(self.fits) > FITS:
                 self.fits.clear()
             left = self.spine(b, 0)
             # a merge inside a of the same rank lies further left and goes first; one inside b goes later
-            self.fits[a, b] = not any((r := self.rank.get((x, y))) is not None and r < gone_x and r <= gone_y for x, gone_x in self.spine(a, 1) for y, gone_y in left)
-        return self.fits[a, b]
+            self.fits[pair] = not any((r := self.rank.get((x, y))) is not None and r < gone_x and r <= gone_y for x, gone_x in self.spine(a, 1) for y, gone_y in left)
+        return self.fits[pair]
 
     def ids(self, pretoken: str) -> list[int]:
-        n = len(pretoken)
-        last, back, at = [-1] * (n + 1), [0] * (n + 1), 0
+        known = self.tokens.get(pretoken)
+        if known is not None:
+            return [known]
+        n, fits = len(pretoken), self.fits
+        last, back, at = [-1] * (n + 1), [0] * (n + 1), -1
         for end, (size, token) in self.automaton.iter(pretoken):
-            end += 1
             if end == at:
                 continue
-            start = end - size
-            if not start or (last[start] >= 0 and self.compatible(last[start], token)):
-                last[end], back[end], at = token, start, end
+            start = end + 1 - size
+            if start:
+                before = last[start]
+                fit = fits.get(before << 20 | token)
+                if not (self.compatible(before, token) if fit is None else fit):
+                    continue
+            at = end
+            last[end + 1], back[end + 1] = token, start
         out = []
         while n:
             out.append(last[n])
@@ -107,10 +122,15 @@ class PrefixCodec:
         return out[::-1]
 
     def whole(self, segment: bytes) -> bytes:
+        text = segment.decode("utf-8", "replace")
+        if m := PLAIN.fullmatch(text):
+            tokens = [m[k].encode().decode("latin-1").translate(self.letters) for k in (1, 2) if m[k]]
+        else:
+            tokens = [t for t, _ in self.lib.pre_tokenizer.pre_tokenize_str(text)]
         out: list[int] = []
-        for t, _ in self.lib.pre_tokenizer.pre_tokenize_str(segment.decode("utf-8", "replace")):
+        for t in tokens:
             out += self.ids(t)
-        return b"".join(i.to_bytes(4, "little") for i in out)
+        return struct.pack(f"<{len(out)}I", *out)
 
     def segment(self, segment: bytes) -> bytes:
         if not segment.isascii() and ODD_SPACE.search(segment.decode("utf-8", "replace")) or segment.isascii() and any(c in segment for c in b"\x1c\x1d\x1e\x1f"):
@@ -120,8 +140,9 @@ class PrefixCodec:
             ids = memo.get(piece)
             if ids is None:
                 if len(memo) >= MEMO:
-                    memo.clear()
-                ids = memo[piece] = self.whole(piece)
+                    self.older, self.memo = memo, {}
+                    memo = self.memo
+                ids = memo[piece] = self.older.get(piece) or self.whole(piece)
             out.append(ids)
         return b"".join(out)
 
@@ -136,6 +157,12 @@ class PrefixCodec:
         return found.decode("utf-8", "replace").encode()
 
 
+@lru_cache(1)
+def codec_of(path: str) -> PrefixCodec:
+    """A worker process keeps its codec, and what it has met, from task to task."""
+    return PrefixCodec(path)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -146,7 +173,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path
     """Encode and decode every row's text. digests: n_tokens, ids_sha256, decoded_sha256; else ids and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PrefixCodec(path or default_path())
+        codec = codec_of(path or default_path())
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             for a, b in steps(batch.column(2).to_pylist()):

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from normalog.llm.common import steps, table
 
 NONE = np.iinfo(np.int64).max
-MEMO = 400_000
+MEMO = 300_000
 
 
 class RankMerger:
@@ -107,6 +108,12 @@ class RankMerger:
         return [sum(map(self.memo.__getitem__, pieces)) for pieces in split]
 
 
+@lru_cache(1)
+def merger_of(path: str) -> RankMerger:
+    """A worker process keeps its merger, and what it has met, from task to task."""
+    return RankMerger(path)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -117,7 +124,7 @@ def token_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pa
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = RankMerger(path or default_path())
+        merger = merger_of(path or default_path())
         for batch in batches:
             sizes = batch.column(2).to_pylist()
             for a, b in steps(sizes):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normalog.llm.common import steps, table
+from normalog.llm.common import small_batches, steps, table
 
 MEMO, FITS = 120_000, 250_000
 #: Fixed value: the pieces that the byte-level pre-tokenizer's white space rules make of ASCII texts.
@@ -172,6 +172,8 @@ def default_path() -> str:
 def bpe_encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, digests: bool = True) -> DataFrame:
     """Encode and decode every row's text. digests: n_tokens, ids_sha256, decoded_sha256; else ids and decoded."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path or default_path())
         sha = lambda b: hashlib.sha256(b).hexdigest()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normalog.llm.common import cut, steps, table
+from normalog.llm.common import cut, small_batches, steps, table
 from normalog.llm.components import components
 
 FRONTIER = 1 << 20
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wi
                 fp = np.array([fingerprint(t, width) for t in batch.column(1).slice(a, b - a).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), body.cast("binary").alias("b"), F.octet_length(body).alias("n")).mapInArrow(run, "doc_id long, fp long")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normalog.llm.common import steps, table
+from normalog.llm.common import small_batches, steps, table
 
 NONE = np.iinfo(np.int64).max
 MEMO = 300_000
@@ -123,6 +123,8 @@ def default_path() -> str:
 def token_counts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of docs. No shuffle."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = merger_of(path or default_path())
         for batch in batches:

@@ -24,7 +24,7 @@ QUERIES = {
     "session_header": "SELECT conv_id, turn, cast({get|concat('[Session ', conv_id * 10 + turn, '] x')|'^\\s*\\[Session (\\d+)'|1} AS bigint) AS session FROM turns",
     "cheatsheet_extract": "SELECT page_id, CASE WHEN position('<p>' IN html) = 0 THEN 'no_tag' WHEN position('</p>' IN html) < position('<p>' IN html) THEN 'malformed' ELSE 'ok' END AS status FROM pages",
     "placeholders": "SELECT p_partkey, regexp_extract(concat(p_name, ' {e} costs {price_', p_size, '}'), 'costs \\{([a-z_0-9]*)\\}', 1) AS slot FROM part",
-    "register_words": "SELECT doc_id, regexp_extract(lower(text), '\\b(must|shall|never|the|que|der)\\b', 0) <> '' AS hit FROM documents",
+    "register_words": "SELECT doc_id, regexp_extract(lower(text), '(^|[^a-z])(must|shall|never|the|que|der)([^a-z]|$)', 2) <> '' AS hit FROM documents",
     "name_collisions": "SELECT a.id AS a, b.id AS b FROM names a JOIN names b ON a.id <> b.id AND position(a.low IN b.low) > 0",
     "name_duplicates": "SELECT lower(trim(c_name)) AS low, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1",
     "resolve_entity": """SELECT a.q, CASE WHEN max(CASE WHEN n.low = a.low THEN 1 ELSE 0 END) = 1 THEN min(CASE WHEN n.low = a.low THEN n.id END)

@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normalog.llm.bpe_codec import byte_alphabet
 from normalog.llm.common import small_batches, steps, table
 
+#: A word of Latin letters and ASCII marks around it (no apostrophe): normal already but for case, three pre-tokens at most.
+PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = {b: c for c, b in byte_alphabet().items()}
 NONE = np.iinfo(np.int64).max
 MEMO = 300_000
 
@@ -44,9 +48,13 @@ class RankMerger:
         self.made = np.array([self.vocab[a + b] for a, b in merges], np.int64)[order]
         special = [t["content"].encode() for t in spec["added_tokens"]]
         self.special = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        # two generations of known pieces: what is still in use moves from the older one to the younger
         self.memo: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
 
     def pretokens(self, piece: bytes) -> list[str]:
+        if m := PLAIN.fullmatch(piece.decode("utf-8", "replace")):
+            return [p.lower().encode().decode("latin-1").translate(LETTERS) for p in m.groups() if p]
         text = self.lib.normalizer.normalize_str(piece.decode("utf-8", "replace"))
         return [t for t, _ in self.lib.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -103,8 +111,11 @@ class RankMerger:
         split = [t.split() for t in texts]
         new = set().union(*split) if split else set()
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-        self.learn({p for p in new if p not in self.memo})
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        new -= memo.keys()
+        memo.update((p, older[p]) for p in new if p in older)
+        self.learn({p for p in new if p not in memo})
         return [sum(map(self.memo.__getitem__, pieces)) for pieces in split]
 
 

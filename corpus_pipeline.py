@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from normalog.llm.bpe_codec import bpe_encode
+from normalog.llm.common import partitions
 from normalog.llm.disclosure import sanitise
 from normalog.llm.mixing import mixed
 from normalog.llm.quality_hosts import keep_good
@@ -27,8 +28,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixed(docs)
+    """Documents as often as the mix takes them, in twice as many shards as the session has shuffle partitions."""
+    return mixed(docs, shards=1 << max(4, (2 * partitions(spark) - 1).bit_length()))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

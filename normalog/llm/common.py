@@ -45,9 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, limit: int = 2 * STEP_BYTES) -> None:
     """Bound the bytes of an Arrow batch: ten thousand long texts in one would be any size."""
-    spark.conf.set(BATCH, str(2 * STEP_BYTES))
+    spark.conf.set(BATCH, str(limit))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

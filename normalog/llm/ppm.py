@@ -126,7 +126,7 @@ def train(rows: DataFrame, order: int, max_edges: int) -> Trie:
 def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = 5, max_edges: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2 * STEP)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held"), body.cast("binary").alias("b"), F.octet_length(body).alias("n"))
     trie = spark.sparkContext.broadcast(train(rows.where("NOT held").select("b", "n"), order, max_edges))

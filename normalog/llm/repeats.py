@@ -226,7 +226,7 @@ def resolve_groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
 def find_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc, pos, n): byte ranges that go, overlapping and in any order."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 3 * STEP)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), body.cast("binary").alias("b"), F.octet_length(body).alias("n"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -100,6 +100,16 @@ class Trie:
         return out
 
 
+def scored(model: Trie, texts: list[bytes]) -> np.ndarray:
+    """log10 probability of each text; equal (context, symbol) pairs are looked up once."""
+    import pandas as pd
+
+    gram, start = contexts(texts, model.order)
+    code, kinds = pd.factorize(gram)
+    del gram
+    return np.add.reduceat(model.log10(kinds)[code], start)
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
@@ -109,7 +119,7 @@ def train(rows: DataFrame, order: int, max_edges: int) -> Trie:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in steps(batch.column(1).to_pylist(), STEP):
+            for a, b in steps(batch.column(1).to_pylist(), STEP // 3):
                 gram, _ = contexts([t.lower() for t in batch.column(0).slice(a, b - a).to_pylist()], order)
                 key, n = np.unique(gram, return_counts=True)
                 for i in range(0, len(key), 1 << 16):
@@ -134,15 +144,11 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: in
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
         model, step = trie.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             for a, b in steps(batch.column(3).to_pylist(), STEP):
                 texts = [t.lower() for t in batch.column(2).slice(a, b - a).to_pylist()]
-                gram, start = contexts(texts, model.order)
-                code, kinds = pd.factorize(gram)
-                total = np.add.reduceat(model.log10(kinds)[code], start)
+                total = np.concatenate([scored(model, texts[i:j]) for i, j in steps([len(t) for t in texts], STEP // 4)])
                 known: dict[bytes, int] = {}
                 codes = [np.fromiter((known.setdefault(w, len(known)) for w in t.split()), np.int32) for t in texts]
                 held = batch.column(1).slice(a, b - a)

@@ -6,8 +6,10 @@ exclusion). A symbol not seen in its longest known context costs an escape, esti
 seen symbol), and is sought in the next shorter context, where the symbols already ruled out are excluded from all
 sums; below order 0 the symbols left are equally likely. Scores are log10 probabilities and add up to one over all texts.
 
-The trie goes to the workers whole. Its size is checked first: while it has more than ``max_edges`` edges the order is
-lowered by one, so the bound holds for any corpus and every text is still trained on and scored.
+The trie goes to the workers in parts of about ``part_edges`` edges, cut by the last two bytes of the context: contexts
+of order 2 and more stand in one part, and orders 1 and 0, at most 257 * 258 edges, in all of them. A worker holds one
+part at a time and adds up what each says of a text, so the model keeps its order, and grows, with any corpus, while the
+memory of the driver and of a worker does not. Only a pair of bytes with more edges than that has a larger part.
 
 The base score needs each word's training count. Each worker step names its distinct words once; counts meet by word
 and return to the step, so neither the vocabulary nor a document's words ever stand in one place.
@@ -18,11 +20,12 @@ without training rows every symbol has probability 1/257. Empty tables give no r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,7 +62,8 @@ def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 class Trie:
     """Edges of every order, ascending: (context, symbol) packed, count, and each context's sums."""
 
-    def __init__(self, gram: np.ndarray, count: np.ndarray, order: int):
+    def __init__(self, gram: np.ndarray, count: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None):
+        """low: the edges of order 1 and their counts, where gram is only a part of the trie."""
         self.order, self.levels = order, []
         at = np.argsort(gram)
         keys, n = gram[at], count[at].astype(np.float64)
@@ -70,6 +74,8 @@ class Trie:
                 keys, back = np.unique(keys & ((1 << (BITS * k)) - 1), return_inverse=True)
                 # what the shorter context counts of the symbols seen in this one
                 n = np.bincount(back).astype(np.float64)
+                if low and k == 2:
+                    back, (keys, n) = np.searchsorted(low[0], keys)[back], low
                 self.levels[-1]["below"] = np.bincount(where, n[back], len(ctx))
         for level in self.levels:
             del level["where"]
@@ -100,22 +106,47 @@ class Trie:
         return out
 
 
-def scored(model: Trie, texts: list[bytes]) -> np.ndarray:
-    """log10 probability of each text; equal (context, symbol) pairs are looked up once."""
+def pair(gram):
+    """The last two symbols of the context, of numbers or of a column."""
+    if isinstance(gram, Column):
+        return F.shiftright(gram, BITS).bitwiseAND(F.lit((1 << (2 * BITS)) - 1))
+    return (gram >> BITS) & ((1 << (2 * BITS)) - 1)
+
+
+def loaded(part: Broadcast) -> Trie:
+    """A part's trie, which the worker does not keep."""
+    trie = part.value
+    part.__dict__.pop("_value", None)
+    return trie
+
+
+def scored(parts: list[tuple[int, int, Callable[[], Trie]]], texts: list[bytes], order: int, step: int = STEP // 4) -> np.ndarray:
+    """log10 probability of each text; equal (context, symbol) pairs of a step are looked up once.
+
+    parts: from, to (exclusive) of the context's last two symbols, and how to get the trie.
+    """
     import pandas as pd
 
-    gram, start = contexts(texts, model.order)
-    code, kinds = pd.factorize(gram)
-    del gram
-    return np.add.reduceat(model.log10(kinds)[code], start)
+    total = np.zeros(len(texts))
+    for lo, hi, trie in parts:
+        model = trie()
+        for a, b in steps([len(t) for t in texts], step):
+            gram, start = contexts(texts[a:b], order)
+            code, kinds = pd.factorize(gram)
+            del gram
+            value, own = np.zeros(len(kinds)), (pair(kinds) >= lo) & (pair(kinds) < hi)
+            value[own] = model.log10(kinds[own])
+            total[a:b] += np.add.reduceat(value[code], start)
+        del model
+    return total
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def train(rows: DataFrame, order: int, max_edges: int) -> Trie:
-    """rows: b (lower-cased bytes are made here), n (length)."""
+def train(rows: DataFrame, order: int) -> DataFrame:
+    """Edges (g, n) of the highest order. rows: b (lower-cased bytes are made here), n (length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,30 +156,49 @@ def train(rows: DataFrame, order: int, max_edges: int) -> Trie:
                 for i in range(0, len(key), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)].astype(np.int64))], ["g", "n"])
 
-    edges = cut(rows.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
-    while order > 1 and edges.count() > max_edges:
-        order -= 1
-        edges = cut(edges.groupBy(F.col("g").bitwiseAND(F.lit((1 << (BITS * (order + 1))) - 1)).alias("g")).agg(F.sum("n").alias("n")))
-    found = edges.toArrow()  # at most max_edges rows, or an order of one: 257 * 258
-    return Trie(found.column("g").to_numpy(), found.column("n").to_numpy(), order)
-
-
-def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = 5, max_edges: int = 4_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    return cut(rows.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
+
+
+def trie_parts(edges: DataFrame, order: int, part_edges: int) -> Iterator[tuple[int, int, Trie]]:
+    """(from, to, trie) of each part, one at a time; together they take in all contexts."""
+    end = 1 << (2 * BITS)
+    # at most 257 * 257 rows
+    sizes = sorted(map(tuple, edges.groupBy(pair(F.col("g")).alias("p")).count().collect()))
+    starts, held = [0], 0
+    for p, n in sizes:
+        if held and held + n > part_edges:
+            starts.append(p)
+            held = 0
+        held += n
+    low = None
+    if len(starts) > 1:
+        first = edges.select(F.col("g").bitwiseAND(F.lit((1 << (3 * BITS)) - 1)).alias("g")).distinct().groupBy(F.col("g").bitwiseAND(F.lit(end - 1)).alias("g")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        found = first.orderBy("g").toArrow()
+        low = found.column("g").to_numpy(), found.column("n").to_numpy()
+    for lo, hi in zip(starts, [*starts[1:], end], strict=True):
+        found = (edges.where(pair(F.col("g")).between(lo, hi - 1)) if low else edges).toArrow()
+        yield lo, hi, Trie(found.column("g").to_numpy(), found.column("n").to_numpy(), order, low)
+
+
+def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = 5, part_edges: int = 2_000_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. order: 2 to 6."""
     spark = docs.sparkSession
     small_batches(spark, 2 * STEP)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held"), body.cast("binary").alias("b"), F.octet_length(body).alias("n"))
-    trie = spark.sparkContext.broadcast(train(rows.where("NOT held").select("b", "n"), order, max_edges))
+    edges = train(rows.where("NOT held").select("b", "n"), order)
+    parts = [(lo, hi, spark.sparkContext.broadcast(trie)) for lo, hi, trie in trie_parts(edges, order, part_edges)]
     fields = [("step", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("score", pa.float64()), ("codes", pa.list_(pa.int32())), ("first", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, step = trie.value, TaskContext.get().partitionId() << 32
+        # a trie in one part stays with the worker
+        get = [(lo, hi, partial(loaded, p) if len(parts) > 1 else partial(getattr, p, "value")) for lo, hi, p in parts]
+        step = TaskContext.get().partitionId() << 32
         for batch in batches:
             for a, b in steps(batch.column(3).to_pylist(), STEP):
                 texts = [t.lower() for t in batch.column(2).slice(a, b - a).to_pylist()]
-                total = np.concatenate([scored(model, texts[i:j]) for i, j in steps([len(t) for t in texts], STEP // 4)])
+                total = scored(get, texts, order)
                 known: dict[bytes, int] = {}
                 codes = [np.fromiter((known.setdefault(w, len(known)) for w in t.split()), np.int32) for t in texts]
                 held = batch.column(1).slice(a, b - a)

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from normalog.llm.common import small_batches, steps, table
 
 MEMO, FITS = 120_000, 250_000
-#: Fixed value: the pieces that the byte-level pre-tokenizer's white space rules make of ASCII texts.
-PIECE = re.compile(rb" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
+#: Fixed value: the pieces that the byte-level pre-tokenizer's white space rules make of ASCII texts. The first form takes
+#: a word of Latin letters without the marks that end it, which are a pre-token of their own.
+PIECE = re.compile(rb" ?(?:[A-Za-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])++(?=[!-&(-/:-@\[-`{-~]*+(?:[ \t\n\r\f\v]|\Z))| ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
 #: White space, or what may count as such, beyond ASCII's six characters.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Pieces of one word of Latin letters and ASCII marks after it (no apostrophe): two pre-tokens at most.

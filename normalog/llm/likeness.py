@@ -1,0 +1,127 @@
+"""Near-duplicates by likeness: documents whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
+
+1. Every document gets its set of shingle hashes (A-Z lower-cased) and ``BANDS`` keys, each over ``ROWS`` minima of the
+   set. Equal sets are one class. Two sets of likeness s share no key with probability (1 - s^4)^32: 5e-8 at 0.8.
+2. Classes that share a key are compared by their whole sets: first with one class of each key, then with another, and
+   last all pairs of a key that are not in one component yet. So every pair that shares a key is compared, or already
+   linked over others, and a group of very many near copies does not make all its pairs.
+
+Defined results: texts without words are alike; texts under five words are one shingle; rows with a null id link nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from normalog.llm.common import cut, small_batches, steps
+from normalog.llm.components import components
+from normalog.llm.simhash import one_of_each
+
+BANDS, ROWS = 32, 4
+#: a likeness of LIKE[0] / LIKE[1]
+LIKE = 4, 5
+MIX = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+
+
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """Ascending distinct hashes of a text's shingles; no words: none."""
+    import xxhash
+
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    every = map(b" ".join, zip(*(w[i:] for i in range(width)), strict=False)) if len(w) >= width else [b" ".join(w)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in every), np.uint64, max(1, len(w) - width + 1)))
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """The set's keys, as signed longs."""
+    import xxhash
+
+    if not len(h):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 4096):
+        x = h[i : i + 4096, None] * MIX[0]
+        low = np.minimum(low, ((x ^ x >> np.uint64(32)) * MIX[1]).min(0))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def sets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, cls, n, keys, h) of every row: the class, size, keys and members of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for a, b in steps(batch.column(2).to_pylist(), 1 << 20):
+                h = [shingles(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
+                cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in h], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cls), pa.array([len(x) for x in h], pa.int64()), pa.array([band_keys(x) for x in h], pa.list_(pa.int64())), pa.array([x.tobytes() for x in h], pa.binary())], ["doc_id", "cls", "n", "keys", "h"])
+
+    small_batches(docs.sparkSession)
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.cast("binary").alias("b"), F.octet_length(body).alias("n"))
+    return rows.mapInArrow(run, "doc_id long, cls long, n long, keys array<long>, h binary")
+
+
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, x, y) with the members of both sets to the pairs (a, b) that are alike."""
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(LIKE[1] * both >= LIKE[0] * (len(x) + len(y) - both))
+        good = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+
+
+def roots_of(keyed: DataFrame, members: DataFrame) -> DataFrame | None:
+    """(node, root) of all classes that are linked. keyed: (key, cls, n); members: (cls, h)."""
+    found = asked = roots = None
+    for turn in (F.min, F.max, None):
+        rows = keyed.withColumn("root", F.col("cls")) if roots is None else keyed.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+        hub = (turn or F.min)(F.struct("cls", "n", "root")).alias("hub")
+        open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub).where("lo < hi").select("key", "hub")
+        rows = rows.join(open_, "key")
+        if turn:
+            pairs = rows.select("cls", "n", "root", F.col("hub.cls").alias("cls2"), F.col("hub.n").alias("n2"), F.col("hub.root").alias("root2")).where("cls <> cls2")
+        else:
+            rows = rows.drop("hub")
+            pairs = rows.join(rows.select("key", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "root"))), "key").where("cls < cls2")
+        # sets of too different sizes cannot be alike
+        pairs = pairs.where((F.col("root") != F.col("root2")) & (LIKE[1] * F.least("n", "n2") >= LIKE[0] * F.greatest("n", "n2")))
+        pairs = pairs.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
+        pairs = cut(pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti"))
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        held = pairs.join(members.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a").join(members.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b")
+        links = cut(held.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+        if not links.isEmpty():
+            found = links if found is None else found.unionByName(links)
+            roots = cut(components(found))
+    return roots
+
+
+def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) of every row with an id; component_id is the smallest doc_id reachable over alike texts."""
+    own = cut(sets(docs.where(F.col(id_col).isNotNull()), text, id_col))
+    classes = cut(own.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    keyed = classes.select("cls", "n", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    keyed = cut(keyed.join(several, "key").select("key", "cls", "n"))
+    members = own.select("cls", "h").join(keyed.select("cls").distinct(), "cls", "left_semi")
+    roots = roots_of(keyed, cut(members.groupBy("cls").agg(F.first("h").alias("h"))))
+    rooted = classes.select("cls", "least", F.col("cls").alias("root")) if roots is None else classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.select("doc_id", "cls").join(rooted.join(best, "root").select("cls", "component_id"), "cls").select("doc_id", "component_id")
+
+
+def keep_one_alike(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose component has a smaller id; see ``simhash.one_of_each``."""
+    return one_of_each(docs, cut(near_copies(docs, text, id_col)), text, id_col)

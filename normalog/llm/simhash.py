@@ -203,9 +203,13 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
 
     Rows with a null id have no order among themselves and are kept.
     """
-    found = near_duplicates(docs, text, id_col, width, radius)
-    stays = found.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return one_of_each(docs, near_duplicates(docs, text, id_col, width, radius), text, id_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, text: str, id_col: str) -> DataFrame:
+    """What keep_one keeps of docs. found: (doc_id, component_id); rows with a null id stay whether it holds them or not."""
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(stays, F.col(id_col).cast("long") == F.col("_id"), "left_semi").unionByName(docs.where(F.col(id_col).cast("long").isNull()))
     return kept.dropDuplicates([id_col, text]) if repeated(found) else kept
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from normalog.llm import bpe_codec, chat_tree, disclosure, fingerprint_sketch, mixing, ppm, quality_hosts, repeats, simhash, token_counts
+from normalog.llm import bpe_codec, chat_tree, disclosure, fingerprint_sketch, likeness, mixing, ppm, quality_hosts, repeats, simhash, token_counts
 from normalog.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -146,6 +146,41 @@ def test_simhash_components(docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def brute_near_copies(docs):
+    """The smallest id of each text's component, by all pairs."""
+    sets = {i: shingle_set(re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) for i, t in docs.items()}
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    return classes(sorted(sets), [(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])])
+
+
+def test_near_copies_are_all_pairs_alike(spark, docs):
+    rnd, rows = random.Random(8), {}
+    for g in range(12):
+        base = [f"g{g}w{rnd.randrange(400)}" for _ in range(rnd.choice([4, 9, 40, 120]))]
+        for _ in range(rnd.choice([1, 2, 9])):
+            w = list(base)
+            for _ in range(rnd.randrange(1 + len(w) // 12)):
+                w[rnd.randrange(len(w))] = rnd.choice(["new", "New", "other"])
+            rows[len(rows) * 7 % 97 + 100 * g] = " ".join(w)
+    # exactly 0.8: 8 of 10 shingles
+    nine = [f"e{i}" for i in range(13)]
+    rows |= {5000: " ".join(nine), 5001: " ".join(nine[:-1] + ["y"]), 5002: " ".join(nine[1:] + ["z"])}
+    own = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    rows |= {i + 9000: t for i, t in own.items()}
+    d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    want = brute_near_copies(rows)
+    assert {r.doc_id: r.component_id for r in likeness.near_copies(d).collect()} == want
+    fp = {i: simhash.fingerprint(t.encode()) for i, t in rows.items() if t}
+    far = [(i, j) for i, j in want.items() if i != j and i in fp and j in fp and (fp[i] ^ fp[j]).bit_count() > 3]
+    assert far
+    import corpus_pipeline
+
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()} == set(want.values())
+    kept = likeness.keep_one_alike(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(brute_near_copies(own).values()))
+    assert kept.where("doc_id IS NULL").count() == 1 and likeness.near_copies(d.limit(0)).count() == 0
+
+
 def brute_targets(words):
     names = sorted(words, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}

@@ -113,13 +113,13 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = np.zeros(len(head), bool)
         if last and last[0] == key[0]:
             lead_doc[0], lead_seg[0] = last[1:]
-        # a key that may go on in the next block keeps its smallest document's rows in the game
+        # a key that may go on in the next block keeps its smallest document's rows in the game, be it one row
         opened[-1] = True
         last = key[-1], lead_doc[-1], lead_seg[-1]
         later = doc > np.repeat(lead_doc, size)
         same = seg == np.repeat(lead_seg, size)
         differs = np.add.reduceat((later & ~same).astype(np.int64), head) > 0
-        ask = (n == 0) & ((later & ~same) | (~later & np.repeat(differs | opened & (size > 1), size)))
+        ask = (n == 0) & ((later & ~same) | (~later & np.repeat(differs | opened, size)))
         goes = (n > 0) | (later & same)
         keep = ask | goes
         # a decided anchor stands for its segment, which its text's borders cut

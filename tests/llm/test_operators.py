@@ -363,6 +363,18 @@ def test_repeats(spark, monkeypatch):
     assert repeats.without_repeats(d.limit(0)).count() == 0
 
 
+def test_anchors_meet_across_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "ROWS", 0)
+    rows = [(1, 9, 5, 0, 0), (7, 2, 5, 10, 0), (7, 3, 6, 20, 0), (8, 4, 5, 30, 0)]
+    names = ["key", "doc", "seg", "pos", "n"]
+    for border in range(1, len(rows)):
+        parts = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in x]) for x in (rows[:border], rows[border:])]
+        asked = {(r["doc"], r["pos"]) for b in repeats.meet(iter(parts)) for r in b.to_pylist() if r["n"] == 0}
+        assert asked >= {(2, 10), (3, 20)}, border
+
+
 def test_pieces_of_long_texts_agree(monkeypatch):
     rnd = random.Random(4)
     text = bytes(rnd.choice(b"abc ") for _ in range(5000))

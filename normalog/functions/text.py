@@ -6,7 +6,8 @@ relation("turns", "SELECT conv_id, turn, role, text, {div|(length(text) + 1)|4}
 relation("names", "SELECT n_nationkey AS id, n_name AS name, lower(n_name) AS low FROM nation")
 relation("asked", "SELECT page_id AS q, CASE page_id % 4 WHEN 0 THEN concat('the nation_', page_id % 25) WHEN 1 THEN concat('nation_', page_id % 3, '0') WHEN 2 THEN concat('go to NATION_', page_id % 25, ' now') ELSE substr(concat('nation_', page_id % 25), 1, 6) END AS arg FROM pages")
 relation("asked_norm", "SELECT q, regexp_replace(trim({sub|lower(arg)|'\\s+'|' '}), '^(the|a|an)\\s+', '') AS low FROM asked")
-relation("grams", "SELECT doc_id, {rows|{arr|lower(substr(text, 1, 20)), lower(substr(text, 21, 20))}} AS g FROM documents")
+relation("doc_tokens", "SELECT doc_id, {tokens|lower(text)} AS t FROM documents")
+relation("grams", "SELECT doc_id, {rows|{pairs|t}} AS g FROM doc_tokens")
 
 QUERIES = {
     "approx_tokens": "SELECT conv_id, sum(tokens) AS sum_turns, {div|sum(length(text) + 1)|4} AS whole FROM turns GROUP BY conv_id",
@@ -33,7 +34,7 @@ QUERIES = {
 FROM asked_norm a JOIN names n ON true GROUP BY a.q""",
     "cosine_topk": "SELECT q, vec_id, place, round(score, 5) AS score FROM (SELECT a.vec_id AS q, b.vec_id, s.score, row_number() OVER (PARTITION BY a.vec_id ORDER BY s.score DESC, b.vec_id) AS place FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0 JOIN LATERAL (SELECT {dot|a.embedding|b.embedding} / sqrt({dot|a.embedding|a.embedding} * {dot|b.embedding|b.embedding}) AS score) s ON true) x WHERE place <= 12",
     "cosine_threshold": "SELECT q, count(*) AS n FROM (SELECT a.vec_id AS q, {dot|a.embedding|b.embedding} / sqrt({dot|a.embedding|a.embedding} * {dot|b.embedding|b.embedding}) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0) x WHERE score >= 0.1 GROUP BY q",
-    "hash_embed": "SELECT doc_id, {md5tail|g} % 512 AS bucket, sum(CASE WHEN {md5tail|g} % 512 >= 256 THEN 1 ELSE -1 END) AS weight FROM grams GROUP BY 1, 2",
+    "hash_embed": "SELECT doc_id, bucket, w / coalesce(nullif(sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 0), 1) AS weight FROM (SELECT doc_id, bucket, sum(CASE WHEN bucket >= 256 THEN 1 ELSE -1 END) AS w FROM (SELECT doc_id, {md5tail|g} % 512 AS bucket FROM grams) x GROUP BY doc_id, bucket) y",
     "md5_dedupe": "SELECT md5(text) AS digest, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY md5(text)",
     "sha_digest16": "SELECT item_id, substr({sha|text}, 1, 16) AS digest FROM benchmark",
     "id_assignment": "SELECT r_regionkey, concat('e', lpad(cast(row_number() OVER (ORDER BY r_name) AS string), 2, '0')) AS id FROM region",

@@ -27,6 +27,8 @@ MARKS = {
     "has": ("array_contains({0}, {1})", "list_contains({0}, {1})"),
     "at": ("element_at({0}, cast({1} AS int))", "({0})[{1}]"),
     "md5tail": ("cast(conv(right(md5({0}), 3), 16, 10) AS bigint)", "cast(('0x' || right(md5({0}), 3)) AS bigint)"),
+    "tokens": ("regexp_extract_all({0}, '[a-z0-9][a-z0-9\\x27-]+', 0)", "regexp_extract_all({0}, '[a-z0-9][a-z0-9\\x27-]+')"),
+    "pairs": ("concat({0}, zip_with(slice({0}, 1, greatest(size({0}) - 1, 0)), slice({0}, 2, greatest(size({0}) - 1, 0)), (x, y) -> concat(x, '_', y)))", "list_concat({0}, [concat(({0})[i], '_', ({0})[i + 1]) FOR i IN range(1, len({0}))])"),
     "dot": ("aggregate(zip_with({0}, {1}, (x, y) -> cast(x AS double) * cast(y AS double)), 0D, (s, v) -> s + v)", "list_sum([cast(x AS double) * cast(({1})[i] AS double) FOR x, i IN {0}])"),
     "right": ("right({0}, {1})", "right({0}, {1})"),
     "minute": ("date_trunc('hour', {0})", "date_trunc('hour', {0})"),

@@ -6,13 +6,13 @@ exclusion). A symbol not seen in its longest known context costs an escape, esti
 seen symbol), and is sought in the next shorter context, where the symbols already ruled out are excluded from all
 sums; below order 0 the symbols left are equally likely. Scores are log10 probabilities and add up to one over all texts.
 
-The trie goes to the workers in parts of about ``part_edges`` edges, cut by the last two bytes of the context: contexts
-of order 2 and more stand in one part, and orders 1 and 0, at most 257 * 258 edges, in all of them. A worker holds one
-part at a time and adds up what each says of a text, so the model keeps its order, and grows, with any corpus, while the
-memory of the driver and of a worker does not. Only a pair of bytes with more edges than that has a larger part.
-
-The base score needs each word's training count. Each worker step names its distinct words once; counts meet by word
-and return to the step, so neither the vocabulary nor a document's words ever stand in one place.
+Neither the driver nor any worker ever holds the trie. Texts are dealt into steps of a few MB. A step names its distinct
+(context, symbol) codes and its distinct words once, with their training counts, in buckets: by the last two symbols of
+the context, so that a bucket's trie has every context of order 2 and more whole, and by the word's hash. Counts are
+added up by bucket (first by bucket and group of steps, so a frequent pair or word is no hot key), each bucket answers
+the codes and words of the steps, again by group of steps, and the answers return to their step, which adds them up text
+by text. The contexts of order 1 and 0, at most 257 * 258 edges, go to every bucket. All of this grows with the texts'
+distinct codes, and no piece of it with the corpus but the trie's own edges in a bucket.
 
 Null texts are empty (the end symbol alone). A null id is trained on. Repeated rows count and score each by itself;
 without training rows every symbol has probability 1/257. Empty tables give no rows; other columns are not read.
@@ -20,25 +20,29 @@ without training rows every symbol has probability 1/257. Empty tables give no r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from normalog.llm.common import cut, small_batches, steps, table
+from normalog.llm.common import cut, table
 
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
-STEP = 12 << 20
-WORDS_A_ROW = 1 << 14
+#: Text bytes of a step on average, and of the slices it works through.
+STEP, SLICE = 6 << 20, 2 << 20
+#: Steps whose codes one task counts or answers together, and text bytes for each bucket (between 8 and 4096 of them).
+STEPS_A_GROUP, BUCKET_BYTES = 1024, 1 << 20
+CODE, WORD = 0, 1
+NAMED = "step long, kind int, bucket int, keys binary, n binary"
+
 
+def contexts(texts: list[bytes], order: int, before: bytes = b"", ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of the texts with their ``order`` predecessors, packed in longs, and where each text starts.
 
-def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """All symbols of the texts with their ``order`` predecessors, packed in longs, and where each text starts."""
+    before: what precedes the first text (at least ``order`` bytes, or none); ends: whether the last text ends here.
+    """
     pad = np.full(order, START, np.int16)
     parts: list[np.ndarray] = []
     for t in texts:
@@ -46,6 +50,11 @@ def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     if not len(sizes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if before:
+        parts[0] = np.frombuffer(before[-order:], np.uint8).astype(np.int16)
+    if not ends:
+        sizes[-1] -= 1
+        parts.pop()
     flat = np.concatenate(parts)
     gram = np.zeros(len(flat) - order, np.int64)
     for j in range(order + 1):
@@ -59,6 +68,24 @@ def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[keep], np.cumsum(sizes) - sizes
 
 
+def sliced(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """contexts() of the texts by slices of about SLICE bytes, and the slice's first text; a long text takes several slices."""
+    held: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if held and size + len(t) > SLICE:
+            yield *contexts(held, order), i - len(held)
+            held, size = [], 0
+        if len(t) > SLICE:
+            for a in range(0, len(t), SLICE):
+                yield *contexts([t[a : a + SLICE]], order, t[max(0, a - order) : a], a + SLICE >= len(t)), i
+        else:
+            held.append(t)
+            size += len(t)
+    if held:
+        yield *contexts(held, order), len(texts) - len(held)
+
+
 class Trie:
     """Edges of every order, ascending: (context, symbol) packed, count, and each context's sums."""
 
@@ -84,16 +111,18 @@ class Trie:
         """log10 probability of each packed (context, symbol)."""
         out, open_, deeper = np.zeros(len(gram)), np.arange(len(gram)), np.full(len(gram), -1)
         for i, level in enumerate(self.levels):
-            if not len(open_) or not len(level["keys"]):
+            if not len(open_):
                 break
+            if not len(level["keys"]):
+                continue
             key = gram[open_] & ((1 << (BITS * (self.order - i + 1))) - 1)
             c = np.minimum(np.searchsorted(level["ctx"], key >> BITS), len(level["ctx"]) - 1)
             known = level["ctx"][c] == key >> BITS
             total, kinds = level["total"][c], level["kinds"][c]
-            if i:
-                up, was = self.levels[i - 1], deeper[open_] >= 0
-                total = total - np.where(was, up["below"][deeper[open_]], 0)
-                kinds = kinds - np.where(was, up["kinds"][deeper[open_]], 0)
+            if i and len(up := self.levels[i - 1]["kinds"]):
+                was, deep = deeper[open_] >= 0, deeper[open_]
+                total = total - np.where(was, self.levels[i - 1]["below"][deep], 0)
+                kinds = kinds - np.where(was, up[deep], 0)
             e = np.minimum(np.searchsorted(level["keys"], key), len(level["keys"]) - 1)
             seen = known & (level["keys"][e] == key)
             out[open_[seen]] += np.log10((2 * level["n"][e[seen]] - 1) / (2 * total[seen]))
@@ -106,137 +135,156 @@ class Trie:
         return out
 
 
-def pair(gram):
-    """The last two symbols of the context, of numbers or of a column."""
-    if isinstance(gram, Column):
-        return F.shiftright(gram, BITS).bitwiseAND(F.lit((1 << (2 * BITS)) - 1))
-    return (gram >> BITS) & ((1 << (2 * BITS)) - 1)
+def held_out(id_col: Column) -> Column:
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def loaded(part: Broadcast) -> Trie:
-    """A part's trie, which the worker does not keep."""
-    trie = part.value
-    part.__dict__.pop("_value", None)
-    return trie
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their n."""
+    if not len(keys):
+        return keys, n
+    at = np.argsort(keys, kind="stable")
+    keys, n = keys[at], n[at]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)
 
 
-def scored(parts: list[tuple[int, int, Callable[[], Trie]]], texts: list[bytes], order: int, step: int = STEP // 4) -> np.ndarray:
-    """log10 probability of each text; equal (context, symbol) pairs of a step are looked up once.
+def codes_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct codes, ascending, and how often each stands in them."""
+    import pandas as pd
 
-    parts: from, to (exclusive) of the context's last two symbols, and how to get the trie.
-    """
+    keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for gram, _, _ in sliced(texts, order):
+        code, kinds = pd.factorize(gram)
+        keys.append(kinds)
+        n.append(np.bincount(code, minlength=len(kinds)))
+    return summed(np.concatenate(keys), np.concatenate(n))
+
+
+def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its places) of all buckets that have some."""
+    at = np.argsort(bucket, kind="stable")
+    first = np.flatnonzero(np.r_[True, bucket[at][1:] != bucket[at][:-1]]) if len(at) else []
+    for a, b in zip(first, [*first[1:], len(at)], strict=True):
+        yield int(bucket[at[a]]), at[a:b]
+
+
+def name_step(t: pa.Table, order: int, buckets: int) -> pa.Table:
+    """A step's codes and words by bucket, with their training counts (0: in held-out texts only)."""
+    import xxhash
+
+    step, held = t.column("step")[0].as_py(), np.array(t.column("held").to_pylist())
+    texts = [x.lower() for x in t.column("b").to_pylist()]
+    out: list[tuple] = []
+    taught, rest = ([x for x, h in zip(texts, held, strict=True) if h == kind] for kind in (False, True))
+    (g1, n1), (g2, n2) = codes_of(taught, order), codes_of(rest, order)
+    keys, n = summed(np.concatenate([g1, g2]), np.concatenate([n1, n2 * 0]))
+    pair = (keys >> BITS) & ((1 << (2 * BITS)) - 1)
+    for b, at in dealt((pair * 0x9E3779B1 >> 7) % buckets):
+        out.append((step, CODE, b, keys[at].tobytes(), n[at].tobytes()))
+    known: dict[bytes, int] = {}
+    for x in taught:
+        for w in x.split():
+            known[w] = known.get(w, 0) + 1
+    for x in rest:
+        for w in x.split():
+            known.setdefault(w, 0)
+    words, counts = list(known), np.fromiter(known.values(), np.int64, len(known))
+    for b, at in dealt(np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))):
+        out.append((step, WORD, b, b" ".join(words[i] for i in at), counts[at].tobytes()))
+    return pa.table([pa.array(v, k) for v, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["step", "kind", "bucket", "keys", "n"])
+
+
+def merge_counts(t: pa.Table) -> pa.Table:
+    """One row for the bucket: the sums of all rows' counts, without what was never trained on."""
+    kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
+    n = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()])
+    low = np.zeros(0, np.int64)
+    lows = low
+    if kind == CODE:
+        keys, n = summed(np.concatenate([np.frombuffer(x, np.int64) for x in t.column("keys").to_pylist()]), n)
+        keys, n = keys[n > 0], n[n > 0]
+        low, lows = np.unique(np.unique(keys & ((1 << (3 * BITS)) - 1)) & ((1 << (2 * BITS)) - 1), return_counts=True)
+        packed = keys.tobytes()
+    else:
+        known: dict[bytes, int] = {}
+        for w, c in zip((w for x in t.column("keys").to_pylist() for w in x.split()), n.tolist(), strict=True):
+            if c:
+                known[w] = known.get(w, 0) + c
+        packed, n = b" ".join(known), np.fromiter(known.values(), np.int64, len(known))
+    return pa.table([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([lows.tolist()], pa.list_(pa.int64()))], ["kind", "bucket", "keys", "n", "kinds", "total", "low", "lows"])
+
+
+def answer(asked: pa.Table, model: pa.Table, order: int, low: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """To a bucket's codes their log10 probabilities, to its words their training counts, step by step."""
+    if not len(asked):
+        return pa.table([pa.array([], x) for x in (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())], ["step", "kind", "bucket", "keys", "n"])
+    keys, out = asked.column("keys").to_pylist(), []
+    n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in model.column("n").to_pylist())])
+    if asked.column("kind")[0].as_py() == CODE:
+        trie = Trie(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in model.column("keys").to_pylist())]), n, order, low)
+        gram = np.concatenate([np.frombuffer(x, np.int64) for x in keys])
+        kinds, where = np.unique(gram, return_inverse=True)
+        value = trie.log10(kinds)[where]
+        ends = np.cumsum([0, *(len(x) // 8 for x in keys)])
+        out = [value[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+    else:
+        known = dict(zip((w for x in model.column("keys").to_pylist() for w in x.split()), n.tolist(), strict=True))
+        out = [np.array([known.get(w, 0) for w in x.split()], np.int64).tobytes() for x in keys]
+    return asked.select(["step", "kind", "bucket", "keys"]).append_column("n", pa.array(out, pa.binary()))
+
+
+def finish_step(t: pa.Table, answers: pa.Table, order: int, n_all: int, n_end: int, floor: float) -> pa.Table:
+    """The scores of a step's texts from the answers to its codes and words."""
     import pandas as pd
 
+    texts = [x.lower() for x in t.column("b").to_pylist()]
+    kind, keys, n = (answers.column(c).to_pylist() for c in ("kind", "keys", "n"))
+    code = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(k, np.int64) for k, i in zip(keys, kind, strict=True) if i == CODE)])
+    value = np.concatenate([np.zeros(0), *(np.frombuffer(v, np.float64) for v, i in zip(n, kind, strict=True) if i == CODE)])
+    at = np.argsort(code)
+    code, value = code[at], value[at]
     total = np.zeros(len(texts))
-    for lo, hi, trie in parts:
-        model = trie()
-        for a, b in steps([len(t) for t in texts], step):
-            gram, start = contexts(texts[a:b], order)
-            code, kinds = pd.factorize(gram)
-            del gram
-            value, own = np.zeros(len(kinds)), (pair(kinds) >= lo) & (pair(kinds) < hi)
-            value[own] = model.log10(kinds[own])
-            total[a:b] += np.add.reduceat(value[code], start)
-        del model
-    return total
-
-
-def held_out(id_col: Column) -> Column:
-    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 1, F.lit(False))
-
-
-def train(rows: DataFrame, order: int) -> DataFrame:
-    """Edges (g, n) of the highest order. rows: b (lower-cased bytes are made here), n (length)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in steps(batch.column(1).to_pylist(), STEP // 3):
-                gram, _ = contexts([t.lower() for t in batch.column(0).slice(a, b - a).to_pylist()], order)
-                key, n = np.unique(gram, return_counts=True)
-                for i in range(0, len(key), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)].astype(np.int64))], ["g", "n"])
-
-    return cut(rows.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
-
-
-def trie_parts(edges: DataFrame, order: int, part_edges: int) -> Iterator[tuple[int, int, Trie]]:
-    """(from, to, trie) of each part, one at a time; together they take in all contexts."""
-    end = 1 << (2 * BITS)
-    # at most 257 * 257 rows
-    sizes = sorted(map(tuple, edges.groupBy(pair(F.col("g")).alias("p")).count().collect()))
-    starts, held = [0], 0
-    for p, n in sizes:
-        if held and held + n > part_edges:
-            starts.append(p)
-            held = 0
-        held += n
-    low = None
-    if len(starts) > 1:
-        first = edges.select(F.col("g").bitwiseAND(F.lit((1 << (3 * BITS)) - 1)).alias("g")).distinct().groupBy(F.col("g").bitwiseAND(F.lit(end - 1)).alias("g")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-        found = first.orderBy("g").toArrow()
-        low = found.column("g").to_numpy(), found.column("n").to_numpy()
-    for lo, hi in zip(starts, [*starts[1:], end], strict=True):
-        found = (edges.where(pair(F.col("g")).between(lo, hi - 1)) if low else edges).toArrow()
-        yield lo, hi, Trie(found.column("g").to_numpy(), found.column("n").to_numpy(), order, low)
-
-
-def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = 5, part_edges: int = 2_000_000) -> DataFrame:
+    for gram, start, first in sliced(texts, order):
+        which, kinds = pd.factorize(gram)
+        total[first : first + len(start)] += np.add.reduceat(value[np.searchsorted(code, kinds)][which], start)
+    words = [w for k, i in zip(keys, kind, strict=True) if i == WORD for w in k.split()]
+    count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v, np.int64) for v, i in zip(n, kind, strict=True) if i == WORD)])
+    place, logs = {w: i for i, w in enumerate(words)}, np.log10(count + 0.5)
+    n_tokens, n_known, base = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.float64))
+    for i, x in enumerate(texts):
+        own = np.array([place[w] for w in x.split()], np.int64)
+        n_tokens[i], n_known[i] = len(own) + 1, (count[own] > 0).sum() + (n_end > 0)
+        base[i] = logs[own].sum() + np.log10(n_end + 0.5) - (len(own) + 1) * floor
+    return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(texts), n_all), "base_score": base, "score": total})
+
+
+def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = 5, step_bytes: int = STEP, steps_a_group: int = STEPS_A_GROUP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. order: 2 to 6."""
-    spark = docs.sparkSession
-    small_batches(spark, 2 * STEP)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held"), body.cast("binary").alias("b"), F.octet_length(body).alias("n"))
-    edges = train(rows.where("NOT held").select("b", "n"), order)
-    parts = [(lo, hi, spark.sparkContext.broadcast(trie)) for lo, hi, trie in trie_parts(edges, order, part_edges)]
-    fields = [("step", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("score", pa.float64()), ("codes", pa.list_(pa.int32())), ("first", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
-    schema = pa.schema(fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a trie in one part stays with the worker
-        get = [(lo, hi, partial(loaded, p) if len(parts) > 1 else partial(getattr, p, "value")) for lo, hi, p in parts]
-        step = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for a, b in steps(batch.column(3).to_pylist(), STEP):
-                texts = [t.lower() for t in batch.column(2).slice(a, b - a).to_pylist()]
-                total = scored(get, texts, order)
-                known: dict[bytes, int] = {}
-                codes = [np.fromiter((known.setdefault(w, len(known)) for w in t.split()), np.int32) for t in texts]
-                held = batch.column(1).slice(a, b - a)
-                taught = [c for c, h in zip(codes, held.to_pylist(), strict=True) if not h]
-                n = np.bincount(np.concatenate(taught), minlength=len(known)) if taught else np.zeros(len(known), np.int64)
-                k, words = b - a, list(known)
-                ends = np.cumsum([0, *map(len, codes)])
-                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(codes)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, step)), batch.column(0).slice(a, k), held, pa.array(total), listed, *(pa.nulls(k, t) for _, t in fields[5:])], schema=schema)
-                for i in range(0, len(words), WORDS_A_ROW):
-                    yield pa.RecordBatch.from_pylist([{"step": step, "first": i, "words": words[i : i + WORDS_A_ROW], "counts": n[i : i + WORDS_A_ROW].tolist()}], schema=schema)
-                step += 1
-
-    coded = cut(rows.mapInArrow(run, "step long, doc_id long, held boolean, score double, codes array<int>, first int, words array<binary>, counts array<long>"))
-    # a word has a row for each step at most, so no word's group grows with its occurrences
-    each = coded.where("words IS NOT NULL").select("step", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x"))
-    by_word = W.partitionBy("word")
-    counted = each.select("step", (F.col("first") + F.col("i")).alias("i"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counted = cut(counted.select("step", "i", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("step")) == 1).alias("own")))
-    taught = coded.where("codes IS NOT NULL AND NOT held").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("codes").cast("long")).alias("words")).first()
-    n_end, n_all = taught["docs"], taught["docs"] + (taught["words"] or 0)
-    kinds = counted.where("own AND c > 0").count() + (n_end > 0)
-    floor = np.log10(n_all + 0.5 * (kinds + 1))
-
-    def base(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        c = np.zeros(len(counts), np.int64)
-        c[counts.column("i").to_numpy()] = counts.column("c").to_numpy()
-        listed = docs.column("codes").combine_chunks()
-        code, ends = listed.flatten().to_numpy(), np.r_[0, np.cumsum(listed.value_lengths().to_numpy())]
-        sums = lambda v: np.diff(np.r_[0, np.cumsum(v)][ends])
-        part = np.add.reduceat(np.r_[np.log10(c + 0.5)[code], 0.0], ends[:-1]) * (np.diff(ends) > 0)
-        n = np.diff(ends) + 1
-        value = part + np.log10(n_end + 0.5) - n * floor
-        known = sums((c > 0)[code].astype(np.int64)) + int(n_end > 0)
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), n_all), "base_score": value, "score": docs.column("score")})
-
-    found = coded.where("codes IS NOT NULL").select("step", "doc_id", "held", "score", "codes").groupBy("step").cogroup(counted.select("step", "i", "c").groupBy("step"))
-    return found.applyInArrow(base, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held"), body.cast("binary").alias("b"))
+    facts = rows.agg(F.sum(F.octet_length("b").cast("long")).alias("bytes"), F.sum(F.when(F.col("held"), 0).otherwise(1)).alias("taught")).first()
+    size, n_end = facts["bytes"] or 0, facts["taught"] or 0
+    n_steps, buckets = int(-(-size // step_bytes) or 1), int(min(max(size // BUCKET_BYTES, 8), 4096))
+    groups = -(-n_steps // steps_a_group)
+    rows = rows.withColumn("step", F.pmod(F.xxhash64("doc_id", "b"), F.lit(n_steps)))
+    named = cut(rows.groupBy("step").applyInArrow(lambda t: name_step(t, order, buckets), NAMED)).withColumn("salt", F.pmod("step", F.lit(groups).cast("long")))
+    merged = "kind int, bucket int, keys binary, n binary, kinds long, total long, low array<long>, lows array<long>"
+    model = named.select("kind", "bucket", "salt", "keys", "n").groupBy("kind", "bucket", "salt").applyInArrow(merge_counts, merged)
+    if groups > 1:
+        model = model.select("kind", "bucket", "keys", "n").groupBy("kind", "bucket").applyInArrow(merge_counts, merged)
+    model = cut(model)
+    spoken = model.where(F.col("kind") == WORD).agg(F.sum("total").alias("words"), F.sum("kinds").alias("kinds")).first()
+    n_all, kinds = n_end + (spoken["words"] or 0), (spoken["kinds"] or 0) + (n_end > 0)
+    floor = float(np.log10(n_all + 0.5 * (kinds + 1)))
+    # at most 257 * 258 rows: a symbol and the one before it
+    pairs = model.where(F.col("kind") == CODE).select(F.explode(F.arrays_zip("low", "lows")).alias("x")).groupBy("x.low").agg(F.sum("x.lows").alias("n")).orderBy("low").toArrow()
+    low = pairs.column("low").to_numpy(), pairs.column("n").to_numpy().astype(np.float64)
+    spread = model.select("kind", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("salt"), "keys", "n")
+    found = named.select("step", "kind", "bucket", "salt", "keys").groupBy("kind", "bucket", "salt").cogroup(spread.groupBy("kind", "bucket", "salt"))
+    answers = found.applyInArrow(lambda a, m: answer(a, m, order, low), NAMED)
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(lambda t, a: finish_step(t, a, order, n_all, n_end, floor), out)
 
 
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,7 +252,62 @@ def test_scoring(spark, tiny):
     assert -sum(r.score for r in out) / chars / math.log10(2) < 3.2
 
 
-def test_trie_is_a_distribution_and_matches_a_plain_walk(spark, docs):
+def plain_walk(taught, order):
+    """PPM's log10 probability of a text, symbol by symbol over dictionaries: method D, update exclusion, exclusion."""
+    seen = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    for t in taught:
+        s = [257] * order + list(t) + [256]
+        for i in range(order, len(s)):
+            seen[order][tuple(s[i - order : i])][s[i]] += 1
+    for k in range(order, 0, -1):
+        for ctx, after in seen[k].items():
+            for x in after:
+                seen[k - 1][ctx[1:]][x] += 1
+
+    def symbol(ctx, x):
+        out, ruled = 0.0, set()
+        for k in range(order, -1, -1):
+            after = seen[k].get(ctx[order - k :])
+            if not after:
+                continue
+            left = {y: c for y, c in after.items() if y not in ruled}
+            if x in left:
+                return out + math.log10((left[x] - 0.5) / sum(left.values()))
+            if left:
+                out += math.log10(0.5 * len(left) / sum(left.values()))
+            ruled |= set(after)
+        return out - math.log10(257 - len(ruled))
+
+    def score(t):
+        s = [257] * order + list(t) + [256]
+        return sum(symbol(tuple(s[i - order : i]), s[i]) for i in range(order, len(s)))
+
+    return score
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_scores_are_a_plain_walks(spark, docs, monkeypatch, order):
+    """In one step and in many; long texts in slices."""
+    monkeypatch.setattr(ppm, "SLICE", 700)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    lower = lambda t: (t or "").encode().lower()
+    rows = docs.collect()
+    walk = plain_walk([lower(r.text) for r in rows if not held(r.doc_id)], order)
+    want = sorted((r.doc_id or -1, round(walk(lower(r.text)), 6)) for r in rows)
+    for size, group in ((ppm.STEP, 1024), (3000, 2)):
+        got = ppm.score(docs, order=order, step_bytes=size, steps_a_group=group).collect()
+        got = sorted((r.doc_id or -1, round(r.score, 6)) for r in got)
+        assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-5)
+
+
+def test_slices_are_the_whole_text(monkeypatch):
+    texts = [b"the cat sat on the mat", b"", b"aaaa", bytes(range(256)) * 3, b"x"]
+    whole, _ = ppm.contexts(texts, 4)
+    monkeypatch.setattr(ppm, "SLICE", 10)
+    assert np.concatenate([g for g, _, _ in ppm.sliced(texts, 4)]).tolist() == whole.tolist()
+
+
+def test_trie_is_a_distribution(spark, docs):
     data = [b"the cat sat on the mat", b"the dog", b"", b"aaaa"]
     g, start = ppm.contexts(data, 3)
     assert len(g) == sum(len(t) + 1 for t in data) and list(start) == [0, 23, 31, 32]
@@ -263,11 +318,11 @@ def test_trie_is_a_distribution_and_matches_a_plain_walk(spark, docs):
         for s in ctx:
             packed = packed << 9 | s
         assert (10 ** trie.log10(np.array([packed << 9 | y for y in range(257)]))).sum() == pytest.approx(1)
-    assert ppm.score(docs).count() == docs.count()
     assert ppm.score(docs.limit(0)).count() == 0
-    whole = {r.doc_id: r.score for r in ppm.score(docs, order=3).collect()}
-    cut_up = {r.doc_id: r.score for r in ppm.score(docs, order=3, part_edges=20).collect()}
-    assert whole.keys() == cut_up.keys() and all(abs(whole[k] - cut_up[k]) < 1e-9 for k in whole)
+    # nothing to train on: all symbols alike
+    only = docs.where("doc_id % 5 = 0").limit(1).selectExpr("CAST(6 AS BIGINT) AS doc_id", "'abc' AS text")
+    i = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
+    assert ppm.score(only.withColumn("doc_id", F.lit(i))).first().score == pytest.approx(-4 * math.log10(257))
 
 
 def test_quality(spark, docs):

@@ -31,7 +31,7 @@ from normalog.llm.common import cut, table
 
 END, START, SYMBOLS, BITS = 256, 257, 257, 9
 #: Text bytes of a step on average, and of the slices it works through.
-STEP, SLICE = 6 << 20, 2 << 20
+STEP, SLICE = 12 << 20, 2 << 20
 #: Steps whose codes one task counts or answers together, and text bytes for each bucket (between 8 and 4096 of them).
 STEPS_A_GROUP, BUCKET_BYTES = 1024, 1 << 20
 CODE, WORD = 0, 1
@@ -139,6 +139,40 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
+def packed(a: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, compressed."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+    return len(a).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(x: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(x[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(x[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def packed_codes(keys: np.ndarray, order: int) -> bytes:
+    """Codes symbol by symbol, so that the places that sorted codes share cost next to nothing."""
+    return packed(((keys >> (np.arange(order, -1, -1) * BITS)[:, None]) & ((1 << BITS) - 1)).astype(np.uint16).ravel())
+
+
+def unpacked_codes(x: bytes, order: int) -> np.ndarray:
+    symbols, out = unpacked(x, np.uint16).reshape(order + 1, -1), 0
+    for column in symbols:
+        out = (out << BITS) | column.astype(np.int64)
+    return out
+
+
+def joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A code's bucket: by the last two symbols of its context."""
+    pair = (keys >> BITS) & ((1 << (2 * BITS)) - 1)
+    return (pair * 0x9E3779B1 >> 7) % buckets
+
+
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their n."""
     if not len(keys):
@@ -178,10 +212,9 @@ def name_step(t: pa.Table, order: int, buckets: int) -> pa.Table:
     out: list[tuple] = []
     taught, rest = ([x for x, h in zip(texts, held, strict=True) if h == kind] for kind in (False, True))
     (g1, n1), (g2, n2) = codes_of(taught, order), codes_of(rest, order)
-    keys, n = summed(np.concatenate([g1, g2]), np.concatenate([n1, n2 * 0]))
-    pair = (keys >> BITS) & ((1 << (2 * BITS)) - 1)
-    for b, at in dealt((pair * 0x9E3779B1 >> 7) % buckets):
-        out.append((step, CODE, b, keys[at].tobytes(), n[at].tobytes()))
+    keys, n = summed(joined([g1, g2]), joined([n1, n2 * 0]))
+    for b, at in dealt(bucket_of(keys, buckets)):
+        out.append((step, CODE, b, packed_codes(keys[at], order), packed(n[at])))
     known: dict[bytes, int] = {}
     for x in taught:
         for w in x.split():
@@ -191,65 +224,68 @@ def name_step(t: pa.Table, order: int, buckets: int) -> pa.Table:
             known.setdefault(w, 0)
     words, counts = list(known), np.fromiter(known.values(), np.int64, len(known))
     for b, at in dealt(np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))):
-        out.append((step, WORD, b, b" ".join(words[i] for i in at), counts[at].tobytes()))
+        out.append((step, WORD, b, b" ".join(words[i] for i in at), packed(counts[at])))
     return pa.table([pa.array(v, k) for v, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["step", "kind", "bucket", "keys", "n"])
 
 
-def merge_counts(t: pa.Table) -> pa.Table:
+def merge_counts(t: pa.Table, order: int) -> pa.Table:
     """One row for the bucket: the sums of all rows' counts, without what was never trained on."""
     kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
-    n = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()])
+    n = joined([unpacked(x, np.int64) for x in t.column("n").to_pylist()])
     low = np.zeros(0, np.int64)
     lows = low
     if kind == CODE:
-        keys, n = summed(np.concatenate([np.frombuffer(x, np.int64) for x in t.column("keys").to_pylist()]), n)
+        keys, n = summed(joined([unpacked_codes(x, order) for x in t.column("keys").to_pylist()]), n)
         keys, n = keys[n > 0], n[n > 0]
         low, lows = np.unique(np.unique(keys & ((1 << (3 * BITS)) - 1)) & ((1 << (2 * BITS)) - 1), return_counts=True)
-        packed = keys.tobytes()
+        names = packed_codes(keys, order)
     else:
         known: dict[bytes, int] = {}
         for w, c in zip((w for x in t.column("keys").to_pylist() for w in x.split()), n.tolist(), strict=True):
             if c:
                 known[w] = known.get(w, 0) + c
-        packed, n = b" ".join(known), np.fromiter(known.values(), np.int64, len(known))
-    return pa.table([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([lows.tolist()], pa.list_(pa.int64()))], ["kind", "bucket", "keys", "n", "kinds", "total", "low", "lows"])
+        names, n = b" ".join(known), np.fromiter(known.values(), np.int64, len(known))
+    return pa.table([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([names], pa.binary()), pa.array([packed(n)], pa.binary()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([lows.tolist()], pa.list_(pa.int64()))], ["kind", "bucket", "keys", "n", "kinds", "total", "low", "lows"])
 
 
 def answer(asked: pa.Table, model: pa.Table, order: int, low: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-    """To a bucket's codes their log10 probabilities, to its words their training counts, step by step."""
+    """To a bucket's codes their log10 probabilities, in the codes' order, to its words their training counts, step by step."""
     if not len(asked):
         return pa.table([pa.array([], x) for x in (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())], ["step", "kind", "bucket", "keys", "n"])
-    keys, out = asked.column("keys").to_pylist(), []
-    n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in model.column("n").to_pylist())])
+    keys, n = asked.column("keys").to_pylist(), joined([unpacked(x, np.int64) for x in model.column("n").to_pylist()])
     if asked.column("kind")[0].as_py() == CODE:
-        trie = Trie(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in model.column("keys").to_pylist())]), n, order, low)
-        gram = np.concatenate([np.frombuffer(x, np.int64) for x in keys])
-        kinds, where = np.unique(gram, return_inverse=True)
+        trie = Trie(joined([unpacked_codes(x, order) for x in model.column("keys").to_pylist()]), n, order, low)
+        each = [unpacked_codes(x, order) for x in keys]
+        kinds, where = np.unique(joined(each), return_inverse=True)
         value = trie.log10(kinds)[where]
-        ends = np.cumsum([0, *(len(x) // 8 for x in keys)])
-        out = [value[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        ends = np.cumsum([0, *map(len, each)])
+        # the step knows its codes; words come back, as their order is no one's
+        keys, out = [b""] * len(keys), [packed(value[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     else:
         known = dict(zip((w for x in model.column("keys").to_pylist() for w in x.split()), n.tolist(), strict=True))
-        out = [np.array([known.get(w, 0) for w in x.split()], np.int64).tobytes() for x in keys]
-    return asked.select(["step", "kind", "bucket", "keys"]).append_column("n", pa.array(out, pa.binary()))
+        out = [packed(np.array([known.get(w, 0) for w in x.split()], np.int64)) for x in keys]
+    return asked.select(["step", "kind", "bucket"]).append_column("keys", pa.array(keys, pa.binary())).append_column("n", pa.array(out, pa.binary()))
 
 
-def finish_step(t: pa.Table, answers: pa.Table, order: int, n_all: int, n_end: int, floor: float) -> pa.Table:
+def finish_step(t: pa.Table, answers: pa.Table, order: int, buckets: int, n_all: int, n_end: int, floor: float) -> pa.Table:
     """The scores of a step's texts from the answers to its codes and words."""
     import pandas as pd
 
     texts = [x.lower() for x in t.column("b").to_pylist()]
-    kind, keys, n = (answers.column(c).to_pylist() for c in ("kind", "keys", "n"))
-    code = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(k, np.int64) for k, i in zip(keys, kind, strict=True) if i == CODE)])
-    value = np.concatenate([np.zeros(0), *(np.frombuffer(v, np.float64) for v, i in zip(n, kind, strict=True) if i == CODE)])
-    at = np.argsort(code)
-    code, value = code[at], value[at]
-    total = np.zeros(len(texts))
+    rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "keys", "n")), strict=True), key=lambda x: x[:2])
+    slices = []
     for gram, start, first in sliced(texts, order):
         which, kinds = pd.factorize(gram)
+        slices.append((which.astype(np.int32), kinds, start, first))
+    code = np.unique(joined([x[1] for x in slices]))
+    # as the step named them: by bucket, then ascending
+    value = np.empty(len(code))
+    value[np.argsort(bucket_of(code, buckets), kind="stable")] = joined([unpacked(n, np.float64) for kind, _, _, n in rows if kind == CODE], np.float64)
+    total = np.zeros(len(texts))
+    for which, kinds, start, first in slices:
         total[first : first + len(start)] += np.add.reduceat(value[np.searchsorted(code, kinds)][which], start)
-    words = [w for k, i in zip(keys, kind, strict=True) if i == WORD for w in k.split()]
-    count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v, np.int64) for v, i in zip(n, kind, strict=True) if i == WORD)])
+    words = [w for kind, _, k, _ in rows if kind == WORD for w in k.split()]
+    count = joined([unpacked(n, np.int64) for kind, _, _, n in rows if kind == WORD])
     place, logs = {w: i for i, w in enumerate(words)}, np.log10(count + 0.5)
     n_tokens, n_known, base = (np.zeros(len(texts), k) for k in (np.int64, np.int64, np.float64))
     for i, x in enumerate(texts):
@@ -270,9 +306,9 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: in
     rows = rows.withColumn("step", F.pmod(F.xxhash64("doc_id", "b"), F.lit(n_steps)))
     named = cut(rows.groupBy("step").applyInArrow(lambda t: name_step(t, order, buckets), NAMED)).withColumn("salt", F.pmod("step", F.lit(groups).cast("long")))
     merged = "kind int, bucket int, keys binary, n binary, kinds long, total long, low array<long>, lows array<long>"
-    model = named.select("kind", "bucket", "salt", "keys", "n").groupBy("kind", "bucket", "salt").applyInArrow(merge_counts, merged)
+    model = named.select("kind", "bucket", "salt", "keys", "n").groupBy("kind", "bucket", "salt").applyInArrow(lambda t: merge_counts(t, order), merged)
     if groups > 1:
-        model = model.select("kind", "bucket", "keys", "n").groupBy("kind", "bucket").applyInArrow(merge_counts, merged)
+        model = model.select("kind", "bucket", "keys", "n").groupBy("kind", "bucket").applyInArrow(lambda t: merge_counts(t, order), merged)
     model = cut(model)
     spoken = model.where(F.col("kind") == WORD).agg(F.sum("total").alias("words"), F.sum("kinds").alias("kinds")).first()
     n_all, kinds = n_end + (spoken["words"] or 0), (spoken["kinds"] or 0) + (n_end > 0)
@@ -284,7 +320,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: in
     found = named.select("step", "kind", "bucket", "salt", "keys").groupBy("kind", "bucket", "salt").cogroup(spread.groupBy("kind", "bucket", "salt"))
     answers = found.applyInArrow(lambda a, m: answer(a, m, order, low), NAMED)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(lambda t, a: finish_step(t, a, order, n_all, n_end, floor), out)
+    return rows.groupBy("step").cogroup(answers.groupBy("step")).applyInArrow(lambda t, a: finish_step(t, a, order, buckets, n_all, n_end, floor), out)
 
 
 def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from normalog.llm.bpe_codec import bpe_encode
 from normalog.llm.common import partitions
 from normalog.llm.disclosure import sanitise
-from normalog.llm.likeness import keep_one_alike
 from normalog.llm.mixing import mixed
 from normalog.llm.quality_hosts import keep_good
+from normalog.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of texts with a five-word likeness of 0.8 or more."""
-    return keep_one_alike(docs)
+    """The document with the smallest id of each component of SimHash near copies (five words, an estimated likeness of 0.8 or more)."""
+    return keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

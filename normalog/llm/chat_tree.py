@@ -4,8 +4,9 @@ Template: ``<s>`` opens a conversation; a user's turn is ``[INST] text [/INST]``
 any other role's ``<<SYS>>role\\ntext<</SYS>>``. Control strings inside texts get a backslash after their first
 character and backslashes are doubled, which ``unescape`` undoes.
 
-Conversations whose first turn is equal meet in one pack; where more than ``pack_limit`` share it, they are dealt
-over several packs by conv_id, each with its own copy of the shared turns, so no pack is unbounded. In a pack
+Conversations whose first turn is equal meet in one pack; where more than ``pack_limit`` of them or ``PACK_CHARS`` of
+their text share it, they are dealt over several packs by conv_id, each with its own copy of the shared turns, so no pack
+is unbounded (but by one conversation's length), and packs of one first turn lie in several tasks. In a pack
 every tree node (a turn after its ancestors) is written once, depth first. Tokens are code points here; each
 segment has its place in the pack, the position id of its first token (its offset in the conversation), and the
 index of its parent, whose chain gives the intervals that the segment may attend to.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,8 @@ CONTROL = re.compile(r"\\|<(?=/?s>|<SYS>>|</SYS>>)|\[(?=/?INST\])")
 TURN = re.compile(r"\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>>(?P<role>.*?)\n(?P<text>.*?)<</SYS>>| (?P<assistant>.*?)</s>", re.S)
 PACK = "pack array<struct<part:string,conv_ids:array<bigint>,parent:int,start:int,size:int,position:int,loss_start:int,loss_size:int,attends:array<struct<start:int,end:int>>>>"
 BUNDLE_BYTES = 8 << 20
+#: Characters of a pack's conversations, on average, at most.
+PACK_CHARS = 8 << 20
 
 
 def escape(text: str) -> str:
@@ -93,32 +97,30 @@ def build_pack(conversations: list[tuple[int | None, list[tuple[str, str]]]]) ->
     return out
 
 
-def chat_packs(turns: DataFrame, pack_limit: int = 2048) -> DataFrame:
+def chat_packs(turns: DataFrame, pack_limit: int = 256) -> DataFrame:
     """One row per pack: its segments depth first. turns: conv_id, turn, role, text."""
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     conv = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     first = F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"])
     conv = conv.select("conv_id", "turns", first.alias("root"))
-    heads = t.groupBy("conv_id").agg(F.min("t").alias("t")).groupBy(F.xxhash64("t.role", "t.text").alias("root")).agg(F.count(F.lit(1)).alias("n"))
-    hot = heads.where(F.col("n") > pack_limit)
-    conv = conv.join(hot, "root", "left").withColumn("pack", F.coalesce(F.pmod(F.xxhash64("conv_id"), F.ceil(F.col("n") / pack_limit)), F.lit(0)))
-    size = t.agg(F.sum(F.length("t.text") + 32).alias("n")).first()["n"] or 0
+    chars = F.sum(F.length("t.text") + 32)
+    heads = t.groupBy("conv_id").agg(F.min("t").alias("t"), chars.alias("chars")).groupBy(F.xxhash64("t.role", "t.text").alias("root"))
+    hot = heads.agg(F.ceil(F.greatest(F.count(F.lit(1)) / pack_limit, F.sum("chars") / PACK_CHARS)).alias("parts")).where("parts > 1")
+    conv = conv.join(hot, "root", "left").withColumn("pack", F.coalesce(F.pmod(F.xxhash64("conv_id"), F.col("parts")), F.lit(0)))
+    size = t.agg(chars.alias("n")).first()["n"] or 0
     bundles = max(1, -(-int(size) // BUNDLE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            for x in batch.to_pylist():
-                packs.setdefault((x["root"], x["pack"]), []).append((x["conv_id"], [(y["role"], y["text"]) for y in x["turns"]]))
-        for (root, pack), found in sorted(packs.items()):
-            found.sort(key=lambda x: (x[0] is not None, x[0] or 0))
-            yield pa.RecordBatch.from_pylist([{"root": root, "part": pack, "pack": build_pack(found)}], schema)
+        rows = (x for batch in batches for x in batch.to_pylist())
+        for (root, pack), found in groupby(rows, lambda x: (x["root"], x["pack"])):
+            made = build_pack([(x["conv_id"], [(y["role"], y["text"]) for y in x["turns"]]) for x in found])
+            yield pa.RecordBatch.from_pylist([{"root": root, "part": pack, "pack": made}], schema)
 
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     segment = pa.struct([("part", pa.string()), ("conv_ids", pa.list_(pa.int64())), *((n, pa.int32()) for n in ("parent", "start", "size", "position", "loss_start", "loss_size")), ("attends", spans)])
     schema = pa.schema([("root", pa.int64()), ("part", pa.int64()), ("pack", pa.list_(segment))])
-    # a task gets whole packs: all of a (root, pack) hash alike
-    dealt = conv.select("conv_id", "turns", "root", F.col("pack").cast("long").alias("pack")).repartition(bundles, "root", "pack")
+    # a task gets whole packs, one after another
+    dealt = conv.select("conv_id", "turns", "root", F.col("pack").cast("long").alias("pack")).repartition(bundles, "root", "pack").sortWithinPartitions("root", "pack", "conv_id")
     return dealt.mapInArrow(run, f"root long, part long, {PACK}")
 
 

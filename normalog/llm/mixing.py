@@ -2,7 +2,8 @@
 
 Sources, ordered by code point with null last, weigh 1, 2, 3 and again; targets share the corpus's words by weight,
 none above ``most`` times its source's words (the excess is reshared). A source's documents fall into blocks of about
-``block_docs`` by a hash of their id; blocks are permuted by another hash. The mix takes whole epochs of all blocks,
+``block_docs`` by a hash of their id, into ``MOST_BLOCKS`` larger ones at most, so that neither the draws of the tree's
+root nor the blocks' table grow without end; blocks are permuted by another hash. The mix takes whole epochs of all blocks,
 then the permuted blocks in turn while they fit the rest of the target, and of the next block the documents that still
 fit, largest first. So every source's taken words end below its target by less than the smallest document left over.
 
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from normalog.llm.common import cut, table, words
 
 SOURCE = ["_null", "_source"]
-BROADCAST_BLOCKS = 20_000
+MOST_BLOCKS = 65_536
+#: Bytes counted before a table is broadcast; with more, the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def targets(sizes: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -90,11 +93,11 @@ def sized(docs: DataFrame, text: str, id_col: str, source: str) -> DataFrame:
 
 
 def block_of(n, block_docs: int, seed: int):
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("_id"), F.col("size")), F.greatest(F.lit(1), F.ceil(n / block_docs)))
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("_id"), F.col("size")), F.greatest(F.lit(1), F.least(F.ceil(n / block_docs), F.lit(MOST_BLOCKS))))
 
 
 def block_plan(sizes: DataFrame, shards: int, seed: int, block_docs: int, most: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    """(sources, blocks). sources: targets and n; blocks: what is taken of each and where its draws go. sizes is read several times."""
+    """(sources, blocks). sources: targets, n, and where their draws go; blocks: what is taken of each. sizes is read several times."""
     src = cut(targets(sizes, most, weights))
     placed = sizes.join(src.select(*SOURCE, "n"), SOURCE).withColumn("block", block_of(F.col("n"), block_docs, seed))
     blocks = placed.groupBy(*SOURCE, "block").agg(F.sum("size").alias("block_words")).join(src, SOURCE)
@@ -110,24 +113,29 @@ def block_plan(sizes: DataFrame, shards: int, seed: int, block_docs: int, most:
     none = F.struct(F.col("room"), F.array().cast("array<struct<_id:bigint,size:bigint>>").alias("got"))
     fit = F.aggregate("u", none, lambda a, x: F.when(x["w"] <= a["room"], F.struct((a["room"] - x["w"]).alias("room"), F.concat(a["got"], F.array(F.struct(x["_id"].alias("_id"), x["size"].alias("size")))).alias("got"))).otherwise(a))
     chosen = listed.select(*SOURCE, "block", fit["got"].alias("chosen"))
-    quotas = blocks.groupBy(*SOURCE).agg((F.first("epochs") * F.first("n_blocks") + F.sum((F.col("full") | F.col("part")).cast("long"))).alias("q"))
-    runs = split(quotas, shards, seed).withColumn("end", F.sum("q").over(W.partitionBy(*SOURCE).orderBy("shard")))
+    drawn = cut(blocks.groupBy(*SOURCE).agg(F.first("epochs").alias("epochs"), F.first("n_blocks").alias("n_blocks"), (F.first("epochs") * F.first("n_blocks") + F.sum((F.col("full") | F.col("part")).cast("long"))).alias("q")))
+    runs = split(drawn.select(*SOURCE, "q"), shards, seed).withColumn("end", F.sum("q").over(W.partitionBy(*SOURCE).orderBy("shard")))
     ends = runs.groupBy(*SOURCE).agg(F.sort_array(F.collect_list("end")).alias("ends"))
-    plan = blocks.join(chosen, [*SOURCE, "block"], "left").join(ends, SOURCE)
-    return src, cut(plan.select(*SOURCE, "block", "words", "target", "epochs", "n_blocks", "rank", "full", "chosen", "ends"))
+    sources = src.select(*SOURCE, "n", "words", "target").join(drawn.drop("q"), SOURCE).join(ends, SOURCE)
+    return cut(sources), cut(blocks.join(chosen, [*SOURCE, "block"], "left").select(*SOURCE, "block", "rank", "full", "chosen"))
+
+
+def few(df: DataFrame, items: str) -> DataFrame:
+    """df, to be broadcast if its bytes allow; items: its array column."""
+    size = df.agg(F.sum(64 + F.octet_length("_source") + 16 * F.greatest(F.size(items), F.lit(0)).cast("long")).alias("b")).first()["b"]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
 def place(rows: DataFrame, plan: tuple[DataFrame, DataFrame], seed: int, block_docs: int) -> DataFrame:
     """rows (with _id, _null, _source, size) and source_size, target, taken, placements (epoch, shard, local order)."""
     src, blocks = plan
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_BLOCKS else df
-    out = rows.join(few(src.select(*SOURCE, "n")), SOURCE).withColumn("block", block_of(F.col("n"), block_docs, seed)).drop("n").join(few(blocks), [*SOURCE, "block"])
+    out = rows.join(few(src, "ends"), SOURCE).withColumn("block", block_of(F.col("n"), block_docs, seed)).join(few(blocks, "chosen"), [*SOURCE, "block"])
     extra = F.col("full") | F.coalesce(F.exists("chosen", lambda x: x["_id"].eqNullSafe(F.col("_id")) & (x["size"] == F.col("size"))), F.lit(False))
     copies = F.col("epochs") + F.when(extra, 1).otherwise(0)
     shard = lambda e: F.size(F.filter("ends", lambda x: x <= e * F.col("n_blocks") + F.col("rank")))
     spots = F.transform(F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies - 1)).otherwise(F.array().cast("array<bigint>")), lambda e: F.struct(e.alias("epoch"), shard(e).alias("shard"), F.xxhash64(F.lit(seed + 2), F.col("_id"), e).alias("order")))
     out = out.withColumns({"source_size": F.col("words"), "taken": F.col("size") * copies, "placements": spots})
-    return out.drop("block", "words", "epochs", "n_blocks", "rank", "full", "chosen", "ends")
+    return out.drop("n", "block", "words", "epochs", "n_blocks", "rank", "full", "chosen", "ends")
 
 
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", shards: int = 16, seed: int = 17, block_docs: int = 512, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

@@ -253,16 +253,18 @@ def links(fps: DataFrame, radius: int = 3, shard_limit: int = 8192) -> DataFrame
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     chosen = [signed(sum(c)) for c in combinations(masks, bits - radius)]
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in chosen))).alias("k", "v"))
-    return links_in_shards(keyed.select(F.xxhash64("k", "v").alias("key"), F.col("fp").alias("node"), F.array("fp").alias("f")), radius, shard_limit)
+    return links_in_shards(keyed.select(F.xxhash64("k", "v").alias("key"), F.col("fp").alias("node")), None, radius, shard_limit)
 
 
-def links_in_shards(keyed: DataFrame, radius: int, shard_limit: int) -> DataFrame:
-    """(a, b): nodes linked within shards. keyed: key (the shard), node, f (the fingerprint's words), distinct in a shard."""
+def links_in_shards(keyed: DataFrame, points: DataFrame | None, radius: int, shard_limit: int) -> DataFrame:
+    """(a, b): nodes linked within shards. keyed: key (the shard), node, distinct; points: node, f (the fingerprint's words), or the nodes are the points."""
     spark = keyed.sparkSession
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # a hash shared by two keys only adds candidates
     sized = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / shard_limit).cast("int"))
     sized = sized.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    # fingerprints join only what shares its shard
+    sized = sized.join(points, "node") if points else sized.withColumn("f", F.array("node"))
     # to its part's tree in the tasks of all later parts, and as a query to all earlier trees
     tree = F.transform(F.sequence(F.col("own"), F.col("parts") - 1), lambda o: F.struct(F.col("own").alias("part"), o.alias("other"), F.lit(True).alias("tree")))
     query = F.transform(F.filter(F.sequence(F.lit(0), F.col("own")), lambda p: p < F.col("own")), lambda p: F.struct(p.alias("part"), F.col("own").alias("other"), F.lit(False).alias("tree")))
@@ -292,8 +294,8 @@ def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sha
     own = cut(own.withColumn("cls", F.xxhash64("f", "keys")))
     classes = cut(own.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("f").alias("f"), F.first("keys").alias("keys")))
     # equal fingerprints meet too, whatever their minima
-    keyed = classes.select(F.explode(F.concat("keys", F.array(F.xxhash64("f")))).alias("key"), F.col("cls").alias("node"), "f")
-    found = components(links_in_shards(keyed.distinct(), NEAR, shard_limit))
+    keyed = classes.select(F.explode(F.array_distinct(F.concat("keys", F.array(F.xxhash64("f"))))).alias("key"), F.col("cls").alias("node"))
+    found = components(links_in_shards(keyed, classes.select(F.col("cls").alias("node"), "f"), NEAR, shard_limit))
     return own.select("doc_id", "cls").join(smallest_ids(classes.select("cls", "least"), "cls", found), "cls").select("doc_id", "component_id")
 
 

@@ -27,8 +27,7 @@ def motif_chains(spark: SparkSession, episodes: DataFrame, chains: int = 6, seed
     """
     if not 1 <= chains * len(SLOTS) <= NAMES:
         raise ValueError("an episode holds 1 to 24 chains")
-    names = [b.split("\n")[0] for b in scripts.SCRIPTS.strip().split("\n\n")]
-    motif = F.get(F.array(*map(F.lit, names)), F.pmod(draw(seed, "ep", "chain"), F.lit(len(names))).cast("int"))
+    motif = F.get(F.array(*map(F.lit, scripts.NAMES)), F.pmod(draw(seed, "ep", "chain"), F.lit(len(scripts.NAMES))).cast("int"))
     # a step without a common divisor with 96 visits every name once
     step = F.get(F.array(*(F.lit(s) for s in range(1, NAMES, 2) if s % 3)), F.pmod(draw(seed, "ep", F.lit("step")), F.lit(32)).cast("int"))
     place = lambda j: F.pmod(draw(seed, "ep") + (F.col("chain") * len(SLOTS) + j) * step, F.lit(NAMES))

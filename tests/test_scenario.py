@@ -60,7 +60,7 @@ def test_cycles_repeat_blocks():
     one, three = (len([r for r in scripts.rows(c)[0] if r[0] == "hierarchy"]) for c in (1, 3))
     assert (one, three) == (5, 11)
     rids = [e[4] for e in scripts.rows(2)[1] if e[0] == "hierarchy" and e[3] == "ADD"]
-    assert "rlead0" in rids and "rlead1" in rids
+    assert "low0_x" in rids and "low1_x" in rids
 
 
 def test_chains(spark):

@@ -20,12 +20,10 @@ QUERIES = {
     "pad_dup_rate": "SELECT source, round(1 - count(DISTINCT text) / greatest(count(*), 1), 6) AS rate FROM documents GROUP BY source",
     "norm_text": "SELECT q, low FROM asked_norm",
     "slug": "SELECT page_id, CASE WHEN s = '' THEN 'x' ELSE s END AS slug FROM (SELECT page_id, substr({strip|'_'|{sub|lower(url)|'[^a-z0-9]+'|'_'}}, 1, 40) AS s FROM pages) x",
-    "task_key": "SELECT conv_id, turn, trim({sub|{sub|lower(text)|'[0-9]+'|''}|'\\s+'|' '}) AS task FROM turns",
     "speaker_prefix": "SELECT conv_id, turn, regexp_extract(concat('Ann ', role, ': ', text), '^\\s*([A-Z][^:\\n]{1,60}?):\\s+', 1) AS speaker FROM turns",
     "session_header": "SELECT conv_id, turn, cast({get|concat('[Session ', conv_id * 10 + turn, '] x')|'^\\s*\\[Session (\\d+)'|1} AS bigint) AS session FROM turns",
     "cheatsheet_extract": "SELECT page_id, CASE WHEN position('<p>' IN html) = 0 THEN 'no_tag' WHEN position('</p>' IN html) < position('<p>' IN html) THEN 'malformed' ELSE 'ok' END AS status FROM pages",
-    "placeholders": "SELECT p_partkey, regexp_extract(concat(p_name, ' {e} costs {price_', p_size, '}'), 'costs \\{([a-z_0-9]*)\\}', 1) AS slot FROM part",
-    "register_words": "SELECT doc_id, regexp_extract(lower(text), '(^|[^a-z])(must|shall|never|the|que|der)([^a-z]|$)', 2) <> '' AS hit FROM documents",
+    "register_words": "SELECT doc_id, regexp_extract(lower(text), '(^|[^a-z0-9_])(approved?|approval|prohibit(ed|ion)?|bann?ed|ban|supersed[a-z0-9_]*|reaffirm[a-z0-9_]*|reinstat[a-z0-9_]*|contraindicat[a-z0-9_]*|deprecat[a-z0-9_]*|forbid(den)?|may not|must not|off the list|on the list|no longer allowed|cleared for)([^a-z0-9_]|$)', 2) <> '' AS hit FROM documents",
     "name_collisions": "SELECT a.id AS a, b.id AS b FROM names a JOIN names b ON a.id <> b.id AND position(a.low IN b.low) > 0",
     "name_duplicates": "SELECT lower(trim(c_name)) AS low, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1",
     "resolve_entity": """SELECT a.q, CASE WHEN max(CASE WHEN n.low = a.low THEN 1 ELSE 0 END) = 1 THEN min(CASE WHEN n.low = a.low THEN n.id END)

@@ -38,11 +38,15 @@ SELECT n.*, CASE WHEN neg THEN top_pos ELSE top_neg END AS other, CASE WHEN neg
   coalesce(CASE WHEN neg THEN top_neg ELSE top_pos END > CASE WHEN neg THEN top_pos ELSE top_neg END, true)
   OR (coalesce(top_pos = top_neg, false) AND prio = CASE WHEN neg THEN top_neg ELSE top_pos END) AS is_in
 FROM nodes_at n JOIN tops USING (ep, sess, ent)""")
-relation("status_at", """
-SELECT s.ep, s.sess, e.ent, CASE WHEN t.top_neg IS NOT NULL AND coalesce(t.top_neg >= t.top_pos, true) THEN 'forbidden' WHEN t.top_pos IS NOT NULL THEN 'licensed' ELSE 'silent' END AS status
-FROM sessions_of s JOIN ents e ON true LEFT JOIN tops t ON t.ep = s.ep AND t.sess = s.sess AND t.ent = e.ent""")
-relation("status_spans", "SELECT ep, ent, status, sess AS valid_from, coalesce(lead(sess) OVER (PARTITION BY ep, ent ORDER BY sess), 1000000) AS valid_to FROM status_at")
-relation("changes", "SELECT ep, ent, sess, status FROM (SELECT *, lag(status) OVER (PARTITION BY ep, ent ORDER BY sess) AS before FROM status_at) x WHERE status IS DISTINCT FROM before")
+# A status can change only where one of the entity's own rules does, or at the episode's first session.
+relation("points", "SELECT DISTINCT ep, ent, sess FROM (SELECT ep, ent, valid_from AS sess FROM timeline UNION ALL SELECT f.ep, e.ent, f.sess FROM (SELECT ep, min(sess) AS sess FROM rule_events GROUP BY ep) f JOIN ents e ON true) x")
+relation("point_tops", """
+SELECT p.ep, p.ent, p.sess, max(CASE WHEN NOT t.neg THEN t.prio END) AS top_pos, max(CASE WHEN t.neg THEN t.prio END) AS top_neg
+FROM points p LEFT JOIN timeline t ON t.ep = p.ep AND t.ent = p.ent AND t.valid_from <= p.sess AND p.sess < t.valid_to AND NOT t.retracted GROUP BY p.ep, p.ent, p.sess""")
+relation("status_points", "SELECT ep, ent, sess, CASE WHEN top_neg IS NOT NULL AND coalesce(top_neg >= top_pos, true) THEN 'forbidden' WHEN top_pos IS NOT NULL THEN 'licensed' ELSE 'silent' END AS status FROM point_tops")
+relation("status_spans", "SELECT ep, ent, status, sess AS valid_from, coalesce(lead(sess) OVER (PARTITION BY ep, ent ORDER BY sess), 1000000) AS valid_to FROM status_points")
+relation("status_at", "SELECT s.ep, s.sess, p.ent, p.status FROM sessions_of s JOIN status_spans p ON p.ep = s.ep AND p.valid_from <= s.sess AND s.sess < p.valid_to")
+relation("changes", "SELECT ep, ent, sess, status FROM (SELECT *, lag(status) OVER (PARTITION BY ep, ent ORDER BY sess) AS before FROM status_points) x WHERE status IS DISTINCT FROM before")
 relation("probes", "SELECT ep, sess, ord, event_id AS probe, k % 8 AS option_key, k % 3 AS motif, event_type, event_id % 5 AS pick, k FROM ev WHERE event_id % 7 = 0")
 relation("options", "SELECT p.ep, p.sess, p.probe, (option_key + o.d) % 8 AS ent, o.i FROM probes p JOIN (SELECT 0 AS i, 0 AS d UNION ALL SELECT 1, 1 UNION ALL SELECT 2, 3 UNION ALL SELECT 3, 6) o ON true")
 relation("judged", "SELECT o.*, coalesce(s.status, 'silent') AS status FROM options o LEFT JOIN status_spans s ON s.ep = o.ep AND s.ent = o.ent AND s.valid_from <= o.sess AND o.sess < s.valid_to")

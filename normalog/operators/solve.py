@@ -9,12 +9,12 @@ const); signature (pred, sorts). A literal's text is ``[~]pred[(a,b)]``; argumen
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from normalog.sources import scratch
+
 MAX_ROUNDS = 32
 
 
@@ -36,9 +36,7 @@ def complement(literal: Column) -> Column:
 
 def held(df: DataFrame) -> DataFrame:
     """df computed once, reliably, in the session's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="normalog-"))
+    scratch.shared(df.sparkSession)
     return df.checkpoint()
 
 

@@ -8,9 +8,12 @@ reach the scans. Marks in braces stand for what differs between Spark SQL and th
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from normalog.sources import scratch
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: mark: (Spark, DuckDB); {0}, {1} are the mark's arguments.
@@ -38,6 +41,8 @@ MARKS = {
 }
 
 RELATIONS: dict[str, str] = {}
+#: Relations worth writing once where a statement uses them several times, each after those it needs.
+WRITTEN = ("timeline", "status_points", "judged", "weighted")
 
 
 def relation(name: str, sql: str) -> None:
@@ -53,27 +58,60 @@ def marked(sql: str, side: int) -> str:
     return sql
 
 
-def compose(sql: str, side: int) -> str:
-    """The statement with every relation it names, directly or not, defined in front of it. side: 0 Spark, 1 DuckDB."""
-    order: list[str] = []
+def named(text: str, relations: dict[str, str]) -> dict[str, int]:
+    """How often the text names each relation."""
+    return {n: len(found) for n in relations if (found := re.findall(rf"\b{n}\b", text))}
+
+
+def compose(sql: str, side: int, given: dict[str, str] | None = None) -> str:
+    """The statement with every relation it names, directly or not, defined in front of it. side: 0 Spark, 1 DuckDB.
+
+    given: definitions that stand in place of the relations' own, or for tables.
+    """
+    relations, order = RELATIONS | (given or {}), []
 
     def visit(text: str, seen: tuple[str, ...]) -> None:
-        for name in RELATIONS:
-            if name not in seen and name not in order and re.search(rf"\b{name}\b", text):
-                visit(RELATIONS[name], (*seen, name))
+        for name in named(text, relations):
+            if name not in seen and name not in order:
+                visit(relations[name], (*seen, name))
                 order.append(name)
 
     visit(sql, ())
-    head = ",\n".join(f"{n} AS ({RELATIONS[n]})" for n in order)
+    head = ",\n".join(f"{n} AS ({relations[n]})" for n in order)
     text = marked((f"WITH {head}\n" if order else "") + sql.strip(), side)
     # Spark reads a backslash in a literal as an escape
     return text if side else text.replace("\\", "\\\\")
 
 
+def uses(text: str, target: str) -> int:
+    """How often a statement's plan holds the relation once all others are put in place of their names."""
+    return sum(n * (1 if name == target else uses(RELATIONS[name], target)) for name, n in named(text, RELATIONS).items())
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The statement over the tables of sf_dir. Views are bound when the plan is analysed, here."""
-    text = compose(sql, 0)
-    for t in TABLES:
-        if re.search(rf"\b{t}\b", text):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(text)
+    """The statement over the tables of sf_dir.
+
+    What its plan would hold several times of ``WRITTEN`` is computed once, written to the session's shared folder and
+    read back. Names are bound when the statement is analysed, here, under views that go afterwards.
+    """
+    mark = uuid.uuid4().hex[:12]
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", compose(sql, 0))}
+
+    def ask(statement: str) -> DataFrame:
+        own = {n: f"SELECT * FROM {n}_{mark}" for n in frames}
+        text = compose(statement, 0, own)
+        views = [n for n in frames if f"{n}_{mark}" in text]
+        for n in views:
+            frames[n].createOrReplaceTempView(f"{n}_{mark}")
+        try:
+            return spark.sql(text)
+        finally:
+            for n in views:
+                spark.catalog.dropTempView(f"{n}_{mark}")
+
+    for name in WRITTEN:
+        if uses(sql, name) > 1:
+            found, path = ask(f"SELECT * FROM {name}"), scratch.folder(spark, name)
+            found.write.parquet(path)
+            frames[name] = spark.read.schema(found.schema).parquet(path)
+    return ask(sql)

@@ -1,4 +1,4 @@
-"""A new folder for written intermediate results."""
+"""The one place that decides where intermediate results are written."""
 
 from __future__ import annotations
 
@@ -8,7 +8,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Only a local session without either gets a folder of its own; on a cluster that folder would be each machine's.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="normalog-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """Path of a new folder under the session's spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="normalog-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Path of a new folder in the shared one."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ one whose argument names nothing, some none. Every eleventh task stands for a ca
 failure of the harness.
 """
 
+import normalog.operators.rules  # noqa: F401  its relations are named below
 from normalog.plans.library import relation
 
 relation("acts", """

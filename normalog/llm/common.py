@@ -6,13 +6,13 @@ Texts reach Python as UTF-8 bytes (``cast('binary')``), so no string objects are
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normalog.sources import scratch
+
 #: White space of every word contract: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Text bytes that one step in Python holds at once.
@@ -21,20 +21,10 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="normalog-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it again: no lineage, one evaluation, safe against lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = scratch.folder(spark, "cut")
     # the write's shuffle files are of no use afterwards; with this on, Spark drops them when the write ends
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")

@@ -7,13 +7,14 @@ A byte goes if a ``WINDOW``-byte string over it also starts in a document with a
    passages send one row a step and not one an occurrence.
 2. Anchors meet by key. Where all segments are equal they are one repeated interval, decided at once. Where they
    differ, their strings are fetched and meet by the 33 bytes around the anchor that every window on that side shares.
-3. The strings of the batches that meet are shards. Their rows start in one interval and are interleaved symbol by
-   symbol: each round moves every row to the row of the symbol before it and deals the rows out by that symbol, stably,
-   as the Burrows-Wheeler transform's last-to-first step does. After round h the rows stand in the order of their next h
-   symbols and an interval ends where two neighbours differ (their common prefix is shorter than h). An interval of one
-   row cannot grow, so its row is left out; only rows that can become whole windows are carried. No suffixes are
-   compared or sorted anew. Intervals that last for all ``WINDOW`` rounds are the repeated windows; each removes its
-   bytes in all documents but the smallest.
+3. The strings of the batches that meet are dealt into shards. Each shard sorts its suffixes, which gives its
+   Burrows-Wheeler transform and its common prefixes. The transforms are merged by iterative interleave refinement: all rows
+   start in one interval, shard after shard; each round moves every row to the row of the symbol before it (the transform's
+   last-to-first step) and deals the rows out by that symbol, stably. After round h the merged rows stand in the order of
+   their next h symbols and an interval ends where two neighbours' common prefix is shorter than h. No suffixes of different
+   shards are compared or sorted anew. An interval of one row cannot grow and one of a single shard's rows is decided by
+   that shard's common prefixes, so both leave the merge. Intervals that last for all ``WINDOW`` rounds are the repeated
+   windows; each removes its bytes in all documents but the smallest.
 
 Null texts are empty; a row with a null id loses nothing and causes no removal. Rows that share an id are one document:
 they remove nothing from each other, and should their texts differ, what goes from one goes from each, within its
@@ -36,6 +37,8 @@ from normalog.llm.common import cut, small_batches, steps, table
 STEP, PIECE, OVERLAP = 3 << 20, 2 << 20, 4 * WINDOW
 HALF = REACH // 2
 ROWS = 200_000
+#: Symbols in a suffix's first sort key.
+HEAD = 7
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,31 +151,140 @@ def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sub, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(s, pa.binary())], ["sub", "doc", "at", "s"])
 
 
+class Shard:
+    """Suffixes of a shard's strings in order, each string ended by a terminator of its own, which sorts first.
+
+    By row: ``place`` in the text, ``symbol`` before it (the Burrows-Wheeler transform; -1 before a string's start), ``back``,
+    the row of the suffix one symbol longer. ``full`` are the rows of whole windows, ``common`` their common prefix with the
+    row above in ``full``, up to a window.
+    """
+
+    def __init__(self, strings: list[bytes], window: int = WINDOW):
+        self.size = np.array([len(s) for s in strings], np.int64)
+        last = np.cumsum(self.size + 1) - 1
+        self.start = last - self.size
+        n = last[-1] + 1 if len(last) else 0
+        self.text = text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)[:n]
+        self.of = np.repeat(np.arange(len(strings), dtype=np.int32), self.size + 1)
+        self.left = left = (last[self.of] - np.arange(n)).astype(np.int32)
+        code = text.astype(np.int64) + 1
+        code[last] = 0
+        key = code.copy()
+        for i in range(1, min(HEAD, n)):
+            key[:-1] = code[:-1] * 257**i + key[1:]
+            key[last] = 0
+        # rows with equal keys stand in any order for now, but those that end within the key, which are done
+        self.place = place = np.argsort(key).astype(np.int32)
+        short = np.flatnonzero(left[place] < HEAD)
+        place[short] = place[short][np.lexsort((place[short], key[place[short]]))]
+        key = key[place]
+        edge = np.r_[n > 0, key[1:] != key[:-1]][:n]
+        edge[short] = True
+        lead = lambda edge, rows: rows[np.maximum.accumulate(np.where(edge, np.arange(len(rows)), 0))]
+        rank = np.empty(n, np.int64)
+        rank[place] = lead(edge, np.arange(n))
+        h = HEAD
+        # twice as many symbols a round; only rows not yet alone are dealt anew
+        while len(tied := np.flatnonzero(~(edge & np.r_[edge[1:], True][:n]))):
+            p = place[tied]
+            key = rank[p] * n + rank[p + h]
+            turn = np.argsort(key)
+            place[tied], key = p[turn], key[turn]
+            edge[tied] = np.r_[True, key[1:] != key[:-1]]
+            rank[place[tied]] = lead(edge[tied], tied)
+            h *= 2
+        self.symbol = (code[place - 1] - 1).astype(np.int16)
+        self.row = np.empty(n, np.int32)
+        self.row[place] = np.arange(n)
+        self.back = self.row[place - 1]
+        self.full = np.flatnonzero(left[place] >= window)
+        self.common = np.zeros(len(self.full), np.int32)
+        above, below = place[self.full[:-1]], place[self.full[1:]]
+        going = np.arange(len(below))
+        for h in range(window):
+            going = going[text[above[going] + h] == text[below[going] + h]]
+            self.common[going + 1] = h + 1
+
+
+def interleave(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The merged transform of all shards: by merged row its shard, symbol and common prefix with the row above."""
+    count = np.array([len(x.place) for x in shards], np.int64)
+    base = np.cumsum(count) - count
+    home = np.repeat(np.arange(len(shards)), count)
+    symbol = np.concatenate([x.symbol for x in shards])
+    back = np.concatenate([x.back + b for x, b in zip(shards, base, strict=True)])
+    ends = np.concatenate([b + np.arange(len(x.size)) for x, b in zip(shards, base, strict=True)])
+    row, common, h = np.arange(len(home)), np.full(len(home), -1), 0
+    interval = np.zeros(len(home), np.int64)
+    while (common[1:] < 0).any():
+        move = symbol[row] >= 0
+        at, into = row[move], interval[move]
+        turn = np.argsort(symbol[at], kind="stable")
+        first, into = symbol[at][turn], into[turn]
+        # every terminator is an interval of its own, before all symbols
+        row = np.r_[ends, back[at][turn]]
+        edge = np.r_[np.ones(len(ends) + 1, bool), (first[1:] != first[:-1]) | (into[1:] != into[:-1])][: len(row)]
+        common[edge & (common < 0)] = h
+        interval = np.cumsum(edge)
+        h += 1
+    common[:1] = 0
+    return home[row], symbol[row], common
+
+
 def refine(shards: list[list[bytes]], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, offset, interval) of all windows of the shards' strings that stand twice or more; intervals number equal windows."""
-    every = [s for shard in shards for s in shard]
-    size = np.array([len(s) for s in every], np.int64)
-    text = np.frombuffer(b"".join(every), np.uint8)
-    start = np.cumsum(size) - size
-    n = np.maximum(size - window + 1, 0)
-    of = np.repeat(np.arange(len(every)), n)
-    # a row is where a window ends; each round takes in the symbol before it
-    row = start[of] + window + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    interval = np.zeros(len(row), np.int64)
-    for _ in range(window):
-        if not len(row):
+    """(string, offset, interval) of all windows of the shards' strings that stand twice or more; intervals number equal windows.
+
+    The interleave of the shards' transforms, without what needs no more rounds: rows that no whole window leads to, rows
+    alone in their interval, and intervals of one shard, whose own common prefixes say what is equal.
+    """
+    parts = [Shard(s, window) for s in shards if s]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    count = np.array([len(x.place) for x in parts], np.int64)
+    base = (np.cumsum(count) - count).astype(np.int32)
+    join = lambda name: np.concatenate([getattr(x, name) + b for x, b in zip(parts, base, strict=True)])
+    place, back, to = join("place"), join("back"), join("row")
+    symbol = np.concatenate([x.symbol for x in parts]).astype(np.uint8)
+    # own[r]: a number for the window at row r, equal for equal windows of the shard; 0 where it stands once
+    own = np.zeros(len(place), np.int64)
+    before = 0
+    for x, b in zip(parts, base, strict=True):
+        if len(x.full):
+            new = x.common < window
+            new[0] = True
+            group = np.cumsum(new)
+            own[b + x.full] = np.where(np.bincount(group)[group] > 1, group + before, 0)
+            before += group[-1]
+    room = np.concatenate([x.size[x.of] - x.left for x in parts]) >= window
+    row = np.flatnonzero(room[place]).astype(np.int32)
+    home = np.repeat(np.arange(len(parts), dtype=np.int16), count)[row]
+    interval = np.zeros(len(row), np.int32)
+    settled = []
+    for h in range(window + 1):
+        if len(row):
+            edge = np.r_[True, interval[1:] != interval[:-1], True]
+            alone = edge[:-1] & edge[1:]
+            # rows of an interval stand shard after shard, so its ends tell whether it is one shard's
+            head, number = np.flatnonzero(edge), np.cumsum(edge[:-1]) - 1
+            one = (home[head[:-1]] == home[head[1:] - 1])[number]
+            if one.any():
+                settled.append(to[place[row[one & ~alone]] - (window - h)])
+                row, home, interval = row[~one], home[~one], interval[~one]
+        if h == window or not len(row):
             break
-        row = row - 1
-        symbol = text[row]
-        turn = np.argsort(symbol, kind="stable")
-        row, symbol, interval, of = row[turn], symbol[turn], interval[turn], of[turn]
-        edge = np.r_[True, (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1]), True]
-        alone = edge[:-1] & edge[1:]
-        interval = np.cumsum(edge[:-1])
-        if alone.any():
-            more = ~alone
-            row, interval, of = row[more], interval[more], of[more]
-    return of, row - start[of], interval
+        first, row = symbol[row], back[row]
+        turn = np.argsort(first, kind="stable")
+        first, row, home, interval = first[turn], row[turn], home[turn], interval[turn]
+        interval = np.cumsum(np.r_[True, (first[1:] != first[:-1]) | (interval[1:] != interval[:-1])][: len(row)], dtype=np.int32)
+    alike = np.sort(np.concatenate(settled)) if settled else row[:0]
+    alike = alike[own[alike] > 0]
+    # intervals of several shards stand until the last round; row numbers keep the others' groups together
+    rows = np.r_[row, alike]
+    p = place[rows]
+    string = np.concatenate([x.of + o for x, o in zip(parts, np.cumsum([0, *(len(x.size) for x in parts)]), strict=False)])[p]
+    start = np.concatenate([x.start + b for x, b in zip(parts, base, strict=True)])
+    # empty shards hold no strings, so strings are numbered over all shards
+    return string, p - start[string], np.r_[interval[: len(row)], own[alike] + (interval.max() if len(row) else 0)]
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

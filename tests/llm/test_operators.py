@@ -567,6 +567,59 @@ def test_refinement_numbers_equal_windows():
     assert sorted(map(sorted, groups.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def plain_transform(strings):
+    """(string, place, symbol before, common prefix) of all suffixes in order; terminators differ and sort by string."""
+    rows = sorted((tuple(s[j:]), i, j) for i, s in enumerate(strings) for j in range(len(s) + 1))
+    # a terminator sorts before any symbol, so shorter first and then by string: tuples do just that
+    out, above = [], None
+    for t, i, j in rows:
+        same = 0
+        if above is not None:
+            while same < min(len(t), len(above)) and t[same] == above[same]:
+                same += 1
+        out.append((i, j, strings[i][j - 1] if j else -1, same))
+        above = t
+    return out
+
+
+def test_interleave_is_the_unions_transform():
+    rnd = random.Random(8)
+    for trial in range(30):
+        strings = [bytes(rnd.choice(b"ab" if trial % 2 else b"abc\x00\xff") for _ in range(rnd.randint(0, 25))) for _ in range(rnd.randint(1, 9))]
+        cuts = sorted(rnd.randint(0, len(strings)) for _ in range(trial % 4))
+        shards = [x for x in (strings[a:b] for a, b in zip([0, *cuts], [*cuts, len(strings)], strict=True)) if x]
+        home, symbol, common = repeats.interleave([repeats.Shard(x, 4) for x in shards])
+        want = plain_transform(strings)
+        shard_of = [k for k, x in enumerate(shards) for _ in x]
+        assert list(home) == [shard_of[i] for i, *_ in want]
+        assert list(symbol) == [s for _, _, s, _ in want]
+        assert list(common) == [c for *_, c in want]
+        alone = repeats.Shard(strings, 4)
+        assert [(alone.of[p], p - alone.start[alone.of[p]], s) for p, s in zip(alone.place, alone.symbol, strict=True)] == [(i, j, s) for i, j, s, _ in want]
+
+
+def test_refinement_is_alike_for_any_shards():
+    rnd = random.Random(9)
+    bits = [bytes(rnd.choice(b"abc \x00\xff") for _ in range(rnd.randint(3, 30))) for _ in range(12)]
+    strings = sorted({b"".join(rnd.choice(bits) for _ in range(rnd.randint(0, 6))) for _ in range(120)})
+    rnd.shuffle(strings)
+    for window in (1, 4, 9, 50):
+        want = collections.defaultdict(set)
+        for o, s in enumerate(strings):
+            for a in range(len(s) - window + 1):
+                want[s[a : a + window]].add((o, a))
+        want = sorted(sorted(v) for v in want.values() if len(v) > 1)
+        for width in (1, 7, 50, 500):
+            shards = [strings[i : i + width] for i in range(0, len(strings), width)]
+            of, at, interval = repeats.refine([[], *shards, []], window)
+            assert list(interval) == sorted(interval)
+            groups = collections.defaultdict(set)
+            for o, a, i in zip(of, at, interval, strict=True):
+                groups[i].add((o, a))
+            assert sorted(map(sorted, groups.values())) == want, (window, width)
+    assert all(len(x) == 0 for x in repeats.refine([], 4)) and all(len(x) == 0 for x in repeats.refine([[b""]], 4))
+
+
 def test_chat(spark):
     rnd = random.Random(6)
     bits = ["</s>", "[INST] ", " [/INST]", "<s>", "\\", "<<SYS>>", "<</SYS>>", "a", "\n", "é", " "]

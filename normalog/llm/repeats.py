@@ -237,27 +237,26 @@ def refine(shards: list[list[bytes]], window: int = WINDOW) -> tuple[np.ndarray,
     The interleave of the shards' transforms, without what needs no more rounds: rows that no whole window leads to, rows
     alone in their interval, and intervals of one shard, whose own common prefixes say what is equal.
     """
-    parts = [Shard(s, window) for s in shards if s]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    count = np.array([len(x.place) for x in parts], np.int64)
-    base = (np.cumsum(count) - count).astype(np.int32)
-    join = lambda name: np.concatenate([getattr(x, name) + b for x, b in zip(parts, base, strict=True)])
-    place, back, to = join("place"), join("back"), join("row")
-    symbol = np.concatenate([x.symbol for x in parts]).astype(np.uint8)
-    # own[r]: a number for the window at row r, equal for equal windows of the shard; 0 where it stands once
-    own = np.zeros(len(place), np.int64)
-    before = 0
-    for x, b in zip(parts, base, strict=True):
+    held: dict[str, list[np.ndarray]] = {k: [] for k in ("place", "back", "to", "symbol", "own", "of", "start", "row", "home")}
+    base = strings = groups = 0
+    for x in (Shard(s, window) for s in shards if s):
+        # own[r]: a number for the window at row r, equal for equal windows of the shard; 0 where it stands once
+        own = np.zeros(len(x.place), np.int32)
         if len(x.full):
             new = x.common < window
             new[0] = True
             group = np.cumsum(new)
-            own[b + x.full] = np.where(np.bincount(group)[group] > 1, group + before, 0)
-            before += group[-1]
-    room = np.concatenate([x.size[x.of] - x.left for x in parts]) >= window
-    row = np.flatnonzero(room[place]).astype(np.int32)
-    home = np.repeat(np.arange(len(parts), dtype=np.int16), count)[row]
+            own[x.full] = np.where(np.bincount(group)[group] > 1, group + groups, 0)
+            groups += group[-1]
+        row = np.flatnonzero((x.size[x.of] - x.left >= window)[x.place]) + base
+        home = np.full(len(row), len(held["home"]))
+        some = x.place + base, x.back + base, x.row + base, x.symbol.astype(np.uint8), own, x.of + strings, x.start + base, row, home
+        for v, y in zip(held.values(), some, strict=True):
+            v.append(y if y.dtype == np.uint8 else y.astype(np.int32))
+        base, strings = base + len(x.place), strings + len(x.size)
+    if not base:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, back, to, symbol, own, of, start, row, home = (np.concatenate(held.pop(k)) for k in list(held))
     interval = np.zeros(len(row), np.int32)
     settled = []
     for h in range(window + 1):
@@ -281,16 +280,14 @@ def refine(shards: list[list[bytes]], window: int = WINDOW) -> tuple[np.ndarray,
     # intervals of several shards stand until the last round; row numbers keep the others' groups together
     rows = np.r_[row, alike]
     p = place[rows]
-    string = np.concatenate([x.of + o for x, o in zip(parts, np.cumsum([0, *(len(x.size) for x in parts)]), strict=False)])[p]
-    start = np.concatenate([x.start + b for x, b in zip(parts, base, strict=True)])
-    # empty shards hold no strings, so strings are numbered over all shards
+    string = of[p]
     return string, p - start[string], np.r_[interval[: len(row)], own[alike] + (interval.max() if len(row) else 0)]
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings sorted by sub to (doc, pos, n): [pos, pos + n) goes."""
     held: pa.Table | None = None
-    for t in blocks(batches, ROWS // 4):
+    for t in blocks(batches, ROWS // 8):
         held = pa.concat_tables([held, t]) if held is not None else t
         sub = held.column("sub").to_numpy()
         border = np.flatnonzero(sub[1:] != sub[:-1])
